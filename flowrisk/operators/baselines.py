@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowrisk.functions.tails import t_two_sided
 from flowrisk.operators.joins import keys_array
 from flowrisk.operators.series import complete_cases, covariance, pair_moments
+from flowrisk.session import write_table
 from flowrisk.sources.registry import literal_relation
 
 
@@ -44,7 +45,7 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
     optimal. Only the pivots (one row per key) pass through the driver.
     """
     spark = data.sparkSession
-    d = data.select("key", "ts", "x", "y").persist()
+    d = write_table(data.select("key", "ts", "x", "y"))
     target = d.groupBy("key").agg(F.percentile("y", F.lit(q)).alias("yq"))
     start = (
         d.join(F.broadcast(target), "key")
@@ -147,15 +148,20 @@ def granger_tests(returns: DataFrame) -> DataFrame:
         at("l", "dst", "l", "src").alias("s12"), at("l", "dst", "c", "dst").alias("s1y"),
         at("l", "src", "c", "dst").alias("s2y"), at("c", "dst", "c", "dst").alias("syy"),
     )
-    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    s11, s22, s12, s1y, s2y = (F.col(c) for c in ("s11", "s22", "s12", "s1y", "s2y"))
+    det = s11 * s22 - s12 * s12
+    # Two entities may share an asset. With collinear regressors the minimum-norm solution has
+    # the t statistic of the single regressor.
+    collinear = det <= 1e-10 * s11 * s22
     g = g.withColumns({
-        "b1": F.try_divide(F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y"), det),
-        "b2": F.try_divide(F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y"), det),
+        "b1": F.when(collinear, F.try_divide(s1y, s11)).otherwise(F.try_divide(s22 * s1y - s12 * s2y, det)),
+        "b2": F.when(~collinear, F.try_divide(s11 * s2y - s12 * s1y, det)).otherwise(0.0),
         "dof": F.greatest(F.col("n") - 3, F.lit(1)),
     })
-    rss = F.col("syy") - F.col("b1") * F.col("s1y") - F.col("b2") * F.col("s2y")
-    se = F.sqrt(F.greatest(rss / F.col("dof") * F.try_divide(F.col("s11"), det), F.lit(1e-18)))
-    g = g.withColumn("t_stat", F.col("b2") / se)
+    s2 = (F.col("syy") - F.col("b1") * s1y - F.col("b2") * s2y) / F.col("dof")
+    se = F.sqrt(F.greatest(s2 * F.try_divide(s11, det), F.lit(1e-18)))
+    single = F.signum(s12) * F.col("b1") / F.sqrt(F.greatest(F.try_divide(s2, s11), F.lit(1e-18)))
+    g = g.withColumn("t_stat", F.when(collinear, single).otherwise(F.col("b2") / se))
     return g.select("src", "dst", "t_stat", "dof", t_two_sided(F.col("t_stat"), F.col("dof").cast("int")).alias("p_value"), "n")
 
 
@@ -184,7 +190,7 @@ def partial_correlations(returns: DataFrame) -> DataFrame:
         a, b = np.where(~np.eye(len(names), dtype=bool))
         return pd.DataFrame({"src": [names[i] for i in b], "dst": [names[i] for i in a], "pcorr": pc[a, b]})
 
-    return cov.groupBy(F.lit(0)).applyInPandas(invert, "src string, dst string, pcorr double")
+    return cov.groupBy("n").applyInPandas(invert, "src string, dst string, pcorr double")
 
 
 def partial_correlation_graph(returns: DataFrame, threshold: float = 0.2) -> DataFrame:
