@@ -21,7 +21,7 @@ EVENT_SQL = f"ts >= '{EVENT[0]}' AND ts <= '{EVENT[1]}'"
 FIT_SQL = f"ts < '{FIT_END}'"
 
 
-def structural_sql(p: str, models: str, panel: str = "panel", flows: str = "flows_k", lag: int = 0, fit: str = FIT_SQL) -> dict[str, str]:
+def structural_sql(p: str, models: str, panel: str = "panel", flows: str = "flows_k", lag: int = 0, fit: str = FIT_SQL, event: str = EVENT_SQL) -> dict[str, str]:
     """Relations <p>_eq, _feat, _coef (w by feature), _b and _pred of a set of models (model, src, dst)."""
     c: dict[str, str] = {}
     c[f"{p}_names"] = f"SELECT DISTINCT model FROM {models}"
@@ -60,7 +60,7 @@ ON s.model = b.model AND s.child = b.child AND s.ts = y.ts"""
     c[f"{p}_scores"] = f"""
 SELECT model, sqrt(sum((abs(y) + 0.1e0) * (yhat - y) * (yhat - y)) / sum(abs(y) + 0.1e0)) AS wrmse, sqrt(avg((yhat - y) * (yhat - y))) AS rmse,
   avg(abs(yhat - y)) AS mae, avg((sign(yhat) = sign(y))::INT) AS dir_acc, coalesce(corr(yhat, y), 0) AS corr, count(*) AS n
-FROM {p}_pred WHERE {EVENT_SQL} GROUP BY model"""
+FROM {p}_pred WHERE {event} GROUP BY model"""
     return c
 
 
