@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.tails import t_two_sided
-from flowrisk.operators.joins import keys_array
+from flowrisk.operators.joins import bounded, keys_array
 from flowrisk.operators.series import complete_cases, covariance, pair_moments
 from flowrisk.session import write_table
 from flowrisk.sources.registry import literal_relation
@@ -30,7 +30,7 @@ def tail_mean(returns: DataFrame, q: float = 0.05) -> DataFrame:
     """(asset, mes, rank): mean return where the rest of the system is in its q-tail."""
     r = with_system(returns)
     cut = r.groupBy("key").agg(F.percentile("sys", F.lit(q)).alias("cut"))
-    m = r.join(F.broadcast(cut), "key").groupBy(F.col("key").alias("asset")).agg(
+    m = r.join(bounded(cut), "key").groupBy(F.col("key").alias("asset")).agg(
         F.avg(F.when(F.col("sys") <= F.col("cut"), F.col("value"))).alias("mes")
     )
     return m.withColumn("rank", F.rank().over(W.orderBy("mes")))
@@ -48,7 +48,7 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
     d = write_table(data.select("key", "ts", "x", "y"))
     target = d.groupBy("key").agg(F.percentile("y", F.lit(q)).alias("yq"))
     start = (
-        d.join(F.broadcast(target), "key")
+        d.join(bounded(target), "key")
         .groupBy("key")
         .agg(F.min_by(F.struct("ts", "x", "y"), F.struct(F.abs(F.col("y") - F.col("yq")), "ts")).alias("p"))
     )
@@ -63,7 +63,7 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
             "key string, pts timestamp_ntz, px double, py double",
         )
         dx = F.col("x") - F.col("px")
-        slopes = d.join(F.broadcast(table), "key").where("x <> px").select(
+        slopes = d.join(bounded(table), "key").where("x <> px").select(
             "key", "ts", "x", "y", ((F.col("y") - F.col("py")) / dx).alias("s"), F.abs(dx).alias("wt"),
             F.when(dx > 0, F.lit(q)).otherwise(1 - q).alias("share"),
         )
@@ -98,7 +98,7 @@ def delta_covar(returns: DataFrame, system: str | None = None, q: float = 0.05)
     var = r.groupBy("key").agg(
         F.percentile("value", F.lit(q)).alias("var_q"), F.percentile("value", F.lit(0.5)).alias("var_50")
     )
-    out = var.join(F.broadcast(line), "key").select(
+    out = var.join(bounded(line), "key").select(
         F.col("key").alias("asset"), "var_q", (F.col("a") + F.col("b") * F.col("var_q")).alias("covar_q"),
         (F.col("b") * (F.col("var_q") - F.col("var_50"))).alias("delta_covar"),
     )

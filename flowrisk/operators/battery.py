@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions.draws import hash_index
 from flowrisk.functions.tails import spearman
+from flowrisk.operators.joins import bounded
 from flowrisk.session import write_table
 
 TIE = 0.02
@@ -49,7 +50,7 @@ def paired_bootstrap(pred: DataFrame, a: str, b: str, resamples: int, seed: int,
     per = diffs.groupBy("child").agg(F.count("*").alias("c"))
     before = per.select("child", (F.sum("c").over(W.orderBy("child")) - F.col("c")).alias("before"))
     d = write_table(
-        diffs.join(F.broadcast(before), "child").select(
+        diffs.join(bounded(before), "child").select(
             (F.col("before") + F.row_number().over(W.partitionBy("child").orderBy("ts")) - 1).alias("pos"), "d"
         )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowrisk.operators.joins import bounded
 from flowrisk.operators.resolve import RESIDUAL, endpoints
 from flowrisk.session import write_table
 
@@ -158,5 +159,5 @@ def mapped_returns(returns: DataFrame, entity_assets: DataFrame) -> DataFrame:
     from flowrisk.operators.series import complete_cases
 
     m = entity_assets.select("entity", F.col("asset").alias("key"))
-    panel = returns.join(F.broadcast(m), "key").select("ts", F.col("entity").alias("key"), "value")
+    panel = returns.join(bounded(m), "key").select("ts", F.col("entity").alias("key"), "value")
     return complete_cases(panel)

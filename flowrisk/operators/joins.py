@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from flowrisk.session import BROADCAST_ROWS
 
+# Largest entity or asset dimension of a panel.
+MAX_KEYS = 2_000
+
 
 def sized(dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``dim`` with a broadcast hint if it has at most ``bound`` rows.
@@ -17,6 +20,21 @@ def sized(dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """Broadcast hint for a relation with one row per entity, asset, model or combination of them.
+
+    Entities are bounded by the top-k collapse; ``keys_array``, through which every panel is
+    gridded, enforces ``MAX_KEYS``.
+    """
+    return F.broadcast(small)
+
+
 def keys_array(df: DataFrame, col: str) -> Column:
-    """Sorted distinct values of a bounded dimension column, as a scalar-subquery column."""
-    return df.agg(F.array_sort(F.collect_set(col)).alias("keys")).scalar()
+    """Sorted distinct values of a bounded dimension column, as a scalar-subquery column.
+
+    More than ``MAX_KEYS`` values is an error: the dense entity-by-entity arrays would not fit.
+    """
+    few = df.select(col).distinct().limit(MAX_KEYS + 1)
+    keys = few.agg(F.array_sort(F.collect_list(col)).alias("keys"))
+    error = F.raise_error(F.lit(f"more than {MAX_KEYS} values of {col}; collapse entities first"))
+    return keys.select(F.when(F.size("keys") <= MAX_KEYS, F.col("keys")).otherwise(error.cast("array<string>")).alias("keys")).scalar()

@@ -19,8 +19,9 @@ from flowrisk.functions.draws import hash_index, normal
 from flowrisk.functions.linalg import propagate
 from flowrisk.functions.tails import spearman
 from flowrisk.functions.time import at, between
-from flowrisk.operators.joins import keys_array, sized
+from flowrisk.operators.joins import bounded, keys_array
 from flowrisk.operators.structural import dot
+from flowrisk.session import write_table
 
 BLOCK_SCHEMA = "model string, block long, sid int, loss array<double>"
 
@@ -45,6 +46,7 @@ def systems(rows: DataFrame, coef: DataFrame, levels: DataFrame) -> DataFrame:
 
     ``rows`` are the design rows of the event window.
     """
+    levels = write_table(levels, "levels")
     keys = keys_array(levels, "key")
     c = coef.withColumn("keys", keys)
     weight_on = lambda k: F.aggregate(  # noqa: E731 - parallel edges add up
@@ -55,14 +57,14 @@ def systems(rows: DataFrame, coef: DataFrame, levels: DataFrame) -> DataFrame:
     w = w_rows.groupBy("model").agg(F.flatten(_ordered("row", "child")).alias("w"))
     k = F.size("parents")
     drive_rows = rows.select("model", "child", "ts", F.slice("xs", k + 1, k).alias("fx")).join(
-        sized(coef.select("model", "child", "b", "w_flow")), ["model", "child"]
+        bounded(coef.select("model", "child", "b", "w_flow")), ["model", "child"]
     ).select("model", "ts", "child", (F.col("b") + dot(F.col("w_flow"), F.col("fx"))).alias("d"))
     drive = drive_rows.groupBy("model").agg(_ordered("d", "ts", "child").alias("drive"))
     lv = levels.agg(*[_ordered(c, "key").alias(c) for c in ("init", "hi", "pre")])
     lv = lv.select(F.struct(*lv.columns).alias("lv")).scalar()
-    return w.join(drive, "model").select("model", "w", "drive", keys.alias("keys"), lv.alias("lv")).select(
+    return write_table(w.join(drive, "model").select("model", "w", "drive", keys.alias("keys"), lv.alias("lv")).select(
         "model", "keys", "w", "drive", "lv.*"
-    )
+    ), "systems")
 
 
 def run_blocks(blocks: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def _explode_targets(runs: DataFrame, keys: DataFrame) -> DataFrame:
     """(model, block, source, high, target, loss); ``keys(model, keys[])``."""
     return (
         runs.select("model", "block", "sid", F.posexplode("loss").alias("j", "loss"))
-        .join(F.broadcast(keys.select("model", "keys")), "model")
+        .join(bounded(keys.select("model", "keys")), "model")
         .select(
             "model", "block", F.get("keys", (F.col("sid") / 2).cast("int")).alias("source"),
             (F.col("sid") % 2 == 1).alias("high"), F.get("keys", F.col("j")).alias("target"), "loss",
@@ -111,7 +113,7 @@ def residual_draws(pool: DataFrame, steps: int | Column, draws: int, seed: int,
     size = pool.groupBy("model", "child").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     n_steps = steps if isinstance(steps, Column) else F.lit(steps)
     who = F.lit("all") if joint else F.col("child")
-    spec = sized(size).select(
+    spec = bounded(size).select(
         "model", "child", "first", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("block")
     ).select("*", F.explode(F.sequence(F.lit(1), n_steps)).alias("step"))
     spec = spec.withColumn("pos", F.col("first") + hash_index(F.col("n"), seed, who, F.col("block"), F.col("step")))
@@ -129,7 +131,7 @@ def tail_losses(systems: DataFrame, shocks: DataFrame, q: float = 0.95) -> DataF
     Every path is run once and yields the losses of all targets.
     """
     n, steps = F.size("init"), (F.size("drive") / F.size("init")).cast("int")
-    blocks = _spread(shocks, "model", "block").join(sized(systems), "model").withColumns(
+    blocks = _spread(shocks, "model", "block").join(bounded(systems), "model").withColumns(
         _force_levels(n, steps, F.col("hi"))
     )
     losses = _explode_targets(run_blocks(blocks), systems)
@@ -185,12 +187,12 @@ def attribution(systems: DataFrame, paths: DataFrame, shocks: DataFrame, sources
     Per source one block of two scenarios: its observed path, and its pre-crisis level throughout.
     """
     steps = (F.size("drive") / F.size("init")).cast("int")
-    src = systems.join(sized(shocks), "model").select(
+    src = systems.join(bounded(shocks), "model").select(
         "*", F.posexplode("keys").alias("i", "source")
     )
     if sources is not None:
         src = src.where(F.col("source").isin(sources))
-    src = src.join(sized(paths.withColumnRenamed("key", "source")), "source")
+    src = src.join(bounded(paths.withColumnRenamed("key", "source")), "source")
     blocks = _spread(src, "model", "source").withColumns({
         "block": F.col("i").cast("long"),
         "m": F.lit(2),
@@ -203,7 +205,7 @@ def attribution(systems: DataFrame, paths: DataFrame, shocks: DataFrame, sources
         F.max(F.when(F.col("sid") == 0, F.col("loss"))).alias("loss_replay"),
         F.max(F.when(F.col("sid") == 1, F.col("loss"))).alias("loss_counterfactual"),
     )
-    keys = F.broadcast(systems.select("model", "keys"))
+    keys = bounded(systems.select("model", "keys"))
     diff = F.col("loss_replay") - F.col("loss_counterfactual")
     return (
         pair.join(keys, "model")
@@ -221,7 +223,7 @@ def coalition_losses(systems: DataFrame, paths: DataFrame, shocks: DataFrame, ta
     on their observed paths and every other entity but the target at its pre-crisis level."""
     steps = (F.size("drive") / F.size("init")).cast("int")
     all_paths = paths.agg(F.map_from_entries(F.collect_list(F.struct("key", "path")))).scalar()
-    base = systems.join(sized(shocks), "model").select(
+    base = systems.join(bounded(shocks), "model").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(players) - 1))).alias("coalition")
     ).withColumn("others", F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get("keys", i) != target))
     bits = F.create_map(*[x for b, p in enumerate(players) for x in (F.lit(p), F.lit(2**b))])
@@ -239,7 +241,7 @@ def coalition_losses(systems: DataFrame, paths: DataFrame, shocks: DataFrame, ta
         "f_key": F.col("others"),
         "f_path": F.flatten(F.transform("others", path_of)),
     })
-    t = F.broadcast(systems.select("model", (F.array_position("keys", target) - 1).cast("int").alias("t")))
+    t = bounded(systems.select("model", (F.array_position("keys", target) - 1).cast("int").alias("t")))
     return run_blocks(blocks).join(t, "model").select(
         "model", F.col("block").alias("coalition"), F.get("loss", F.col("t")).alias("loss")
     )
@@ -294,7 +296,7 @@ def compare_rankings(base: DataFrame, other: DataFrame, value: str = "exported_r
 
     b = base.select(F.col(key), F.col(value).alias("base_v"), top(base).cast("int").alias("base_top"))
     o = other.select("model", key, F.col(value).alias("other_v"), top(other, "model").cast("int").alias("other_top"))
-    both = o.join(F.broadcast(b), key)
+    both = o.join(bounded(b), key)
     rho = spearman(both, "base_v", "other_v", "model")
     overlap = both.groupBy("model").agg((F.sum(F.col("base_top") * F.col("other_top")) / 3.0).alias("top3_overlap"))
     return rho.join(overlap, "model").select("model", "rho", "n", "top3_overlap")

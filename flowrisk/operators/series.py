@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.time import bucket
-from flowrisk.operators.joins import keys_array
+from flowrisk.operators.joins import bounded, keys_array
 
 
 def last_quote(points: DataFrame, unit: str) -> DataFrame:
@@ -119,8 +119,8 @@ def covariance(panel: DataFrame) -> DataFrame:
     cov = (F.col("s_xy") - F.col("s_x") * F.col("s_y") / F.col("n")) / (F.col("n") - 1)
     m = m.withColumn("cov", cov)
     var = m.where("i = j").select(F.col("i").alias("k"), F.col("cov").alias("var"))
-    vi = F.broadcast(var.select(F.col("k").alias("i"), F.col("var").alias("vi")))
-    vj = F.broadcast(var.select(F.col("k").alias("j"), F.col("var").alias("vj")))
+    vi = bounded(var.select(F.col("k").alias("i"), F.col("var").alias("vi")))
+    vj = bounded(var.select(F.col("k").alias("j"), F.col("var").alias("vj")))
     return m.join(vi, "i").join(vj, "j").select(
         "i", "j", "n", "cov", F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.draws import normal
-from flowrisk.operators.joins import sized
+from flowrisk.operators.joins import bounded
 from flowrisk.operators.resolve import RESIDUAL, endpoints
 from flowrisk.operators.series import drawdown, fill_forward, grid, on_grid, rolling, rolling_mean, zscore
 
@@ -49,7 +49,7 @@ def entity_flow_series(flows: DataFrame, entities: DataFrame) -> DataFrame:
                 F.struct(F.col("src").alias("key"), zero.alias("inflow"), F.col("usd").alias("outflow")),
             )
         ),
-    ).join(F.broadcast(entities.select(F.col("entity").alias("key"))), "key", "left_semi")
+    ).join(bounded(entities.select(F.col("entity").alias("key"))), "key", "left_semi")
     base = grid(calendar(flows), entities, "entity").select("ts", "key", zero.alias("inflow"), zero.alias("outflow"))
     return (
         base.unionByName(legs)
@@ -79,7 +79,7 @@ def _on_calendar(cal: DataFrame, prices: DataFrame, asset_of: DataFrame, col: st
 
     ``asset_of(key, ref)`` is a bounded registry. Quotes between buckets are not carried over.
     """
-    quotes = prices.join(F.broadcast(asset_of.withColumnRenamed("key", "entity")),
+    quotes = prices.join(bounded(asset_of.withColumnRenamed("key", "entity")),
                          F.col("key") == F.col("ref")).select("ts", F.col("entity").alias("key"), F.col(col))
     return fill_forward(on_grid(grid(cal, asset_of, "key"), quotes), col)
 
@@ -94,7 +94,7 @@ def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: Da
     cal = calendar(flows)
     ents = types.where(F.col("entity") != RESIDUAL)
     s = _net_ratio(entity_flow_series(flows, ents), roll)
-    s = s.join(F.broadcast(ents.withColumnRenamed("entity", "key")), "key")
+    s = s.join(bounded(ents.withColumnRenamed("entity", "key")), "key")
 
     def ref(c: str) -> DataFrame:
         return refs.where(F.col(c).isNotNull()).select(F.col("entity").alias("key"), F.col(c).alias("ref"))
@@ -149,7 +149,7 @@ def nonflow_stress(cal: DataFrame, prices: DataFrame, sources: DataFrame, roll:
     """Stress from prices only. ``sources(entity, kind, asset)``, kind 'peg' or 'drawdown'."""
     ref = sources.select(F.col("entity").alias("key"), F.col("asset").alias("ref"))
     s = _on_calendar(cal, prices, ref, "price").join(
-        F.broadcast(sources.select(F.col("entity").alias("key"), "kind")), "key"
+        bounded(sources.select(F.col("entity").alias("key"), "kind")), "key"
     )
     w, m = rolling(roll.win), roll.min_periods
     signal = F.when(F.col("kind") == "peg", F.abs(1 - F.col("price"))).otherwise(drawdown(F.col("price"), w, m))
@@ -185,6 +185,6 @@ def latent_shock(panel: DataFrame, seed: int) -> DataFrame:
 
 def inject(panel: DataFrame, shock: DataFrame, strength: float) -> DataFrame:
     """Add a common shock to every series."""
-    return panel.join(sized(shock), "ts").select(
+    return panel.join(shock, "ts").select(
         "ts", "key", (F.col("value") + F.lit(strength) * F.col("shock")).alias("value")
     )

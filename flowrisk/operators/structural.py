@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions.linalg import ols_from_gram, regression_partials, ridge_from_gram, total_gram
 from flowrisk.operators.series import positions
-from flowrisk.operators.joins import sized
+from flowrisk.operators.joins import bounded
+from flowrisk.session import write_table
 
 
 def as_models(**edges: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def design(eqs: DataFrame, panel: DataFrame, flows: DataFrame, flow_lag: int = 0
         F.transform("parents", lambda p: F.coalesce(F.try_element_at("past", p), zero)),
         F.transform("parents", lambda p: F.coalesce(F.try_element_at("inflow", p), zero)),
     )
-    return rows.join(sized(eqs), "child").select("model", "child", "parents", "ts", "pos", "y", xs.alias("xs"))
+    return rows.join(bounded(eqs), "child").select("model", "child", "parents", "ts", "pos", "y", xs.alias("xs"))
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -92,13 +93,14 @@ def fit(rows: DataFrame, alpha: float = 1.0, min_rows: int = 1) -> DataFrame:
     k = F.size("parents")
     short = F.col("n") < min_rows
     zeros = F.array_repeat(F.lit(0.0), k)
-    return coef.join(mean, ["model", "child"]).select(
+    # A fit has several readers (predictions, systems, residual draws), so it is written once.
+    return write_table(coef.join(mean, ["model", "child"]).select(
         "model", "child", "parents",
         F.when(short, zeros).otherwise(F.slice("w", 1, k)).alias("w_stress"),
         F.when(short, zeros).otherwise(F.slice("w", k + 1, k)).alias("w_flow"),
         F.when(short, F.col("ybar")).otherwise(F.col("b")).alias("b"),
         "n",
-    )
+    ), "coef")
 
 
 def coefficient_table(coef: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def predict(rows: DataFrame, coef: DataFrame) -> DataFrame:
     """Design rows with the one-step prediction ``yhat`` and the residual ``u``."""
-    c = sized(coef.select("model", "child", "b", F.concat("w_stress", "w_flow").alias("w")))
+    c = bounded(coef.select("model", "child", "b", F.concat("w_stress", "w_flow").alias("w")))
     out = rows.join(c, ["model", "child"]).withColumn("yhat", F.col("b") + dot(F.col("w"), F.col("xs")))
     return out.withColumn("u", F.col("y") - F.col("yhat")).drop("b", "w")
 

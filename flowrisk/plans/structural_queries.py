@@ -16,6 +16,7 @@ from flowrisk.plans.inputs import EVENT, FIT_END, Inputs
 from flowrisk.plans.oracle import CTES, compose
 from flowrisk.plans.queries import query
 from flowrisk.plans.stress_queries import nonflow_panel
+from flowrisk.session import write_table
 
 EVENT_SQL = f"ts >= '{EVENT[0]}' AND ts <= '{EVENT[1]}'"
 FIT_SQL = f"ts < '{FIT_END}'"
@@ -85,7 +86,7 @@ def in_event(df: DataFrame) -> DataFrame:
 def fitted(i: Inputs, models: DataFrame, names: list[str], panel: DataFrame, flows: DataFrame, flow_lag: int = 0,
            min_rows: int = 1) -> tuple[DataFrame, DataFrame]:
     """Design rows and coefficients of the models, fitted before the event."""
-    rows = M.design(M.equations(models, panel, names), panel, flows, flow_lag)
+    rows = write_table(M.design(M.equations(models, panel, names), panel, flows, flow_lag), "design")
     return rows, M.fit(i.before(rows, "ts"), min_rows=min_rows)
 
 
