@@ -80,9 +80,21 @@ def _degree_report(i: Inputs) -> DataFrame:
     return rounded(A.classification_report(scored(i)))
 
 
+def classifier(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Held-out scores and importances, as stages."""
+    trained: list = []
+
+    def part(k: int) -> DataFrame:
+        if not trained:
+            trained.extend(A.train_classifier(nodes(i)))
+        return trained[k]
+
+    return i._stage("classifier-scores", lambda: part(0)), i._stage("classifier-importance", lambda: part(1))
+
+
 @query("address_classifier")
 def _classifier(i: Inputs) -> DataFrame:
-    scores, importance = A.train_classifier(nodes(i))
+    scores, importance = classifier(i)
     top = importance.orderBy(F.desc("importance")).limit(5)
     names = top.agg(F.array_join(F.collect_list(F.concat_ws("=", "feature", F.round("importance", 3))), ",")).scalar()
     return rounded(A.classification_report(scores).select("*", names.alias("top_features")))
@@ -129,7 +141,7 @@ def _report(i: Inputs) -> DataFrame:
         F.count("*").alias("n_addresses"), F.sum("is_labelled").alias("n_labelled"),
         F.count_distinct("label").alias("n_distinct_labels"), F.avg("is_labelled").alias("base_rate"),
     )
-    scores, _importance = A.train_classifier(nodes(i))
+    scores, _importance = classifier(i)
     report = A.classification_report(scores)
     cols = F.struct(*report.columns)
     return rounded(counts.select("*", report.select(cols).scalar().alias("r"), label_homogeneity(i).select("homogeneity").scalar().alias("cluster_homogeneity")).select(

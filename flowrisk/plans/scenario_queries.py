@@ -14,12 +14,14 @@ from flowrisk.operators import resolve as R
 from flowrisk.operators import scenarios as C
 from flowrisk.operators import stress as X
 from flowrisk.operators import structural as M
+from flowrisk.plans import jobs
 from flowrisk.plans.baseline_queries import spearman_sql, t_tail_sql
-from flowrisk.plans.inputs import CALM, EVENT, FIT_END, Inputs, PANEL_ROLL
+from flowrisk.plans.inputs import CALM, EVENT, FIT_END, MIN_VOLUME, PANEL_ROLL, Inputs
 from flowrisk.plans.oracle import CTES, compose
 from flowrisk.plans.queries import query
 from flowrisk.plans.stress_queries import normal_sql
 from flowrisk.plans.structural_queries import EVENT_SQL, FIT_SQL, TRUE, fitted, in_event, ols_sql, sensitivity, structural_sql, true_model
+from flowrisk.sources import tables as T
 
 DRAWS, SEED = 150, 7
 
@@ -423,3 +425,57 @@ def _divergence(i: Inputs) -> DataFrame:
     both = B.delta_covar(i.returns()).select("asset", F.lit("delta_covar").alias("baseline"), (-F.col("delta_covar")).alias("risk")).unionByName(
         B.tail_mean(i.returns()).select("asset", F.lit("mes").alias("baseline"), (-F.col("mes")).alias("risk")))
     return rounded(spearman(ranking.join(both, "asset"), "exported_risk", "risk", "baseline").select("baseline", "rho", "n", "p_value"))
+
+
+# ---------------------------------------------------------------- several events
+EVENT_RUNS = {
+    "autumn-1997": ("1997-01-06", "1998-01-05", "1997-10-06", "1997-12-29"),
+    "summer-1999": ("1998-09-07", "1999-09-06", "1999-06-07", "1999-08-30"),
+    "too-short": ("2000-01-03", "2000-03-06", "2000-01-10", "2000-02-28"),
+}
+EVENT_TOP_K, EVENT_MIN_USD = 10, 1e5
+
+
+def event_sql() -> dict[str, str]:
+    from flowrisk.plans.oracle import collapsed, flow_series, flow_stress, keep_set
+
+    c: dict[str, str] = {}
+    for k, (start, end, e0, e1) in enumerate(EVENT_RUNS.values()):
+        p = f"e{k}"
+        c[f"{p}_res"] = f"SELECT * FROM flows WHERE bucket >= '{start}' AND bucket < '{end}'"
+        c[f"{p}_keep"] = keep_set(f"{p}_res", EVENT_TOP_K)
+        c[f"{p}_flows"] = collapsed(f"{p}_res", f"{p}_keep")
+        c[f"{p}_edges"] = f"SELECT src, dst, sum(usd) AS usd FROM {p}_flows GROUP BY ALL HAVING sum(usd) >= {EVENT_MIN_USD}"
+        c[f"{p}_ents"] = f"SELECT src AS entity FROM {p}_flows UNION SELECT dst FROM {p}_flows"
+        c[f"{p}_series"] = flow_series(f"{p}_flows", f"{p}_ents")
+        c[f"{p}_panel0"] = flow_stress(f"{p}_series", 14, 3)
+        c[f"{p}_panel"] = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS pos FROM {p}_panel0"
+        c[f"{p}_models"] = f"""
+SELECT 'true_direction' AS model, src, dst FROM {p}_edges UNION ALL SELECT 'reversed_edges', dst, src FROM {p}_edges
+UNION ALL SELECT 'symmetric', src, dst FROM (SELECT src, dst FROM {p}_edges UNION SELECT dst, src FROM {p}_edges)"""
+        c |= structural_sql(f"{p}d", f"{p}_models", f"{p}_panel", f"{p}_flows", fit=f"ts < '{e0}'", event=f"ts >= '{e0}' AND ts <= '{e1}'")
+    return c
+
+
+def event_select(k: int, name: str, e0: str, e1: str, ok: bool) -> str:
+    p = f"e{k}"
+    cal = f"(SELECT DISTINCT bucket FROM {p}_flows)"
+    head = f"""SELECT '{name}' AS event, {str(ok).lower()} AS ok, (SELECT count(*) FROM {cal} WHERE bucket < '{e0}') AS n_pre,
+  (SELECT count(*) FROM {cal} WHERE bucket >= '{e0}' AND bucket <= '{e1}') AS n_event"""
+    if not ok:
+        return f"{head}, 0::BIGINT AS n_entities, 0::BIGINT AS n_edges, NULL::VARCHAR AS model, NULL::DOUBLE AS wrmse, NULL::DOUBLE AS corr, 0::BIGINT AS n"
+    return f"""{head}, (SELECT count(*) FROM {p}_ents) AS n_entities, (SELECT count(*) FROM {p}_edges) AS n_edges, model, round(wrmse, 6) AS wrmse,
+  round(corr, 6) + 0 AS corr, n FROM {p}d_scores"""
+
+
+@query("event_runs", compose(
+    "\nUNION ALL ".join(event_select(k, name, e0, e1, name != "too-short") for k, (name, (_s, _e, e0, e1)) in enumerate(EVENT_RUNS.items())),
+    **event_sql()))
+def _events(i: Inputs) -> DataFrame:
+    rel = jobs.Relations(i.transfers(), i.tokens(), i.seed(), T.address_labels(i.spark, i.dir), i.prices(), i.entity_assets())
+    runs = {
+        name: jobs.Settings(fit_end=e0, event=(e0, e1), start=start, end=end, unit="week", min_volume=MIN_VOLUME, top_k=EVENT_TOP_K,
+                            min_usd=EVENT_MIN_USD, roll=X.EVENT, seeds_in_panel=False)
+        for name, (start, end, e0, e1) in EVENT_RUNS.items()
+    }
+    return rounded(jobs.events(rel, runs))
