@@ -17,13 +17,13 @@ from flowrisk.sources.registry import literal_relation
 
 def with_system(returns: DataFrame, system: str | None = None) -> DataFrame:
     """Complete returns with ``sys``: the mean of the other assets, or one named asset."""
-    r = complete_cases(returns)
-    per_ts = r.groupBy("ts").agg(
-        F.sum("value").alias("total"), F.count("*").alias("n"),
-        F.max(F.when(F.col("key") == F.lit(system), F.col("value"))).alias("named"),
-    )
+    at_ts = W.partitionBy("ts")  # one row per asset
+    r = complete_cases(returns).withColumns({
+        "total": F.sum("value").over(at_ts), "n": F.count("*").over(at_ts),
+        "named": F.max(F.when(F.col("key") == F.lit(system), F.col("value"))).over(at_ts),
+    })
     sys = F.try_divide(F.col("total") - F.col("value"), F.col("n") - 1) if system is None else F.col("named")
-    return r.join(per_ts, "ts").where("n > 1").select("ts", "key", "value", sys.alias("sys"))
+    return r.where("n > 1").select("ts", "key", "value", sys.alias("sys"))
 
 
 def tail_mean(returns: DataFrame, q: float = 0.05) -> DataFrame:
@@ -42,10 +42,11 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
     Walks along edges of the linear programme. Of all lines through a pivot point the best
     slope is a weighted quantile of the slopes to the other points, found by a running
     weight per key; its point is the next pivot. When two points select each other the line is
-    optimal. Only the pivots (one row per key) pass through the driver.
+    optimal. Only the pivots (one row per key) pass through the driver. ``data`` is read every
+    round and should be a stage.
     """
     spark = data.sparkSession
-    d = write_table(data.select("key", "ts", "x", "y"))
+    d = data.select("key", "ts", "x", "y")
     target = d.groupBy("key").agg(F.percentile("y", F.lit(q)).alias("yq"))
     start = (
         d.join(bounded(target), "key")
@@ -93,7 +94,7 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
 
 def delta_covar(returns: DataFrame, system: str | None = None, q: float = 0.05) -> DataFrame:
     """(asset, var_q, covar_q, delta_covar, rank): conditional quantile of the system given each asset."""
-    r = with_system(returns, system)
+    r = write_table(with_system(returns, system), "system")
     line = quantile_regression(r.select("key", "ts", F.col("value").alias("x"), F.col("sys").alias("y")), q)
     var = r.groupBy("key").agg(
         F.percentile("value", F.lit(q)).alias("var_q"), F.percentile("value", F.lit(0.5)).alias("var_50")
@@ -121,7 +122,7 @@ def granger_tests(returns: DataFrame) -> DataFrame:
     then solved in closed form on the centred moments.
     """
     w = W.partitionBy("key").orderBy("ts")
-    full = complete_cases(returns)
+    full = write_table(complete_cases(returns), "returns")
     both = full.withColumn("lagged", F.lag("value").over(w)).where(F.col("lagged").isNotNull())
     stacked = both.select(
         "ts", F.inline(F.array(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.operators.joins import bounded
+from flowrisk.operators.joins import bounded, sized
 from flowrisk.operators.resolve import RESIDUAL, endpoints
 from flowrisk.session import write_table
 
@@ -125,21 +125,25 @@ def reachability(edges: DataFrame) -> DataFrame:
 
 
 def normalized_adjacency(edges: DataFrame, weight: str = "volume", tiny: float = 1e-9) -> DataFrame:
-    """Symmetric normalised adjacency (i, j, w): log1p weights, both orientations added."""
-    w = F.log1p(F.coalesce(F.col(weight), F.lit(0.0)))
-    both = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("i"), F.col("dst").alias("j"), w.alias("w")),
-                F.struct(F.col("dst").alias("i"), F.col("src").alias("j"), w.alias("w")),
-            )
-        )
+    """Symmetric normalised adjacency (i, j, w): log1p weights, both orientations added.
+
+    Edges are scaled by the degrees of their ends while still undirected, so each degree is
+    looked up once per edge; ``edges`` is read twice and should be a stage.
+    """
+    e = edges.select("src", "dst", F.log1p(F.coalesce(F.col(weight), F.lit(0.0))).alias("w"))
+    degree = (
+        e.select(F.explode(F.array("src", "dst")).alias("node"), "w")
+        .groupBy("node")
+        .agg((1 / F.sqrt(F.sum("w") + tiny)).alias("d"))
     )
-    adj = both.groupBy("i", "j").agg(F.sum("w").alias("w"))
-    degree = adj.groupBy("i").agg((F.sum("w") + tiny).alias("deg"))
-    d_i = degree.withColumnRenamed("deg", "di")
-    d_j = degree.select(F.col("i").alias("j"), F.col("deg").alias("dj"))
-    return adj.join(d_i, "i").join(d_j, "j").select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
+    degree = sized(degree)
+    for side in ("src", "dst"):
+        e = e.join(degree.select(F.col("node").alias(side), F.col("d").alias(f"d_{side}")), side)
+    w = (F.col("w") * F.col("d_src") * F.col("d_dst")).alias("w")
+    both = e.select(F.inline(F.array(
+        F.struct(F.col("src").alias("i"), F.col("dst").alias("j"), w), F.struct(F.col("dst").alias("i"), F.col("src").alias("j"), w),
+    )))
+    return both.groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
 def volume_coverage(flows: DataFrame, edges_nodes: DataFrame) -> DataFrame:

@@ -47,10 +47,11 @@ def address_book(seed: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scaled_transfers(transfers: DataFrame, tokens: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Transfers of the registered tokens within ``[start, end)``, in token units."""
+    scale = tokens.select("token_addr", "sym", F.pow(F.lit(10.0), F.col("dec")).alias("scale"))
     return (
         transfers.where(between(F.col("block_time"), start, end))
-        .join(F.broadcast(tokens), "token_addr")
-        .withColumn("amount", F.col("value").cast("double") / F.pow(F.lit(10.0), F.col("dec")))
+        .join(F.broadcast(scale), "token_addr")
+        .withColumn("amount", F.col("value").cast("double") / F.col("scale"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.time import bucket
-from flowrisk.operators.joins import bounded, keys_array
+from flowrisk.operators.joins import keys_array
 
 
 def last_quote(points: DataFrame, unit: str) -> DataFrame:
@@ -79,11 +79,14 @@ def log_returns(panel: DataFrame) -> DataFrame:
 
 
 def complete_cases(panel: DataFrame) -> DataFrame:
-    """Rows of the timestamps at which every key of the panel has a value."""
+    """Rows of the timestamps at which every key of the panel has a value.
+
+    A timestamp holds at most one row per key, so the windows are small.
+    """
     observed = panel.where(F.col("value").isNotNull())
     n_keys = observed.agg(F.count_distinct("key")).scalar()
-    full = observed.groupBy("ts").agg(F.count("*").alias("n")).where(F.col("n") == n_keys).select("ts")
-    return observed.join(full, "ts", "left_semi")
+    counted = observed.withColumn("_n", F.count("*").over(W.partitionBy("ts")))
+    return counted.where(F.col("_n") == n_keys).drop("_n")
 
 
 def rolling(win: int, by: str = "key") -> W:
@@ -117,13 +120,11 @@ def covariance(panel: DataFrame) -> DataFrame:
     """(i, j, n, cov, corr) over the complete cases, both orders and the diagonal."""
     m = pair_moments(complete_cases(panel))
     cov = (F.col("s_xy") - F.col("s_x") * F.col("s_y") / F.col("n")) / (F.col("n") - 1)
-    m = m.withColumn("cov", cov)
-    var = m.where("i = j").select(F.col("i").alias("k"), F.col("cov").alias("var"))
-    vi = bounded(var.select(F.col("k").alias("i"), F.col("var").alias("vi")))
-    vj = bounded(var.select(F.col("k").alias("j"), F.col("var").alias("vj")))
-    return m.join(vi, "i").join(vj, "j").select(
-        "i", "j", "n", "cov", F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr")
-    )
+    on_diagonal = F.when(F.col("i") == F.col("j"), F.col("cov"))
+    m = m.withColumn("cov", cov).withColumns({
+        "vi": F.max(on_diagonal).over(W.partitionBy("i")), "vj": F.max(on_diagonal).over(W.partitionBy("j")),
+    })
+    return m.select("i", "j", "n", "cov", F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
 
 
 def wide(panel: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from flowrisk.functions.names import root_entity
 from flowrisk.functions.output import rounded
 from flowrisk.operators import graph as G
 from flowrisk.operators import resolve as R
+from flowrisk.plans.address_queries import edges as address_edges
 from flowrisk.plans.inputs import Inputs
 from flowrisk.plans.oracle import CTES, collapsed, compose, throughput
 from flowrisk.plans.queries import query
@@ -217,7 +218,5 @@ SELECT a.i, a.j, round(a.w / sqrt((di.d + 1e-9) * (dj.d + 1e-9)), 6) AS w FROM a
 JOIN (SELECT i, sum(w) AS d FROM addr_adj GROUP BY i) di ON di.i = a.i JOIN (SELECT i, sum(w) AS d FROM addr_adj GROUP BY i) dj ON dj.i = a.j"""),
 )
 def _adjacency(i: Inputs) -> DataFrame:
-    from flowrisk.operators.address import address_edges
-
-    e = address_edges(i.transfers(), i.tokens()).withColumnsRenamed({"from_addr": "src", "to_addr": "dst"})
+    e = address_edges(i).withColumnsRenamed({"from_addr": "src", "to_addr": "dst"})
     return rounded(G.normalized_adjacency(e))

@@ -213,7 +213,7 @@ def comparison_nodes(i: Inputs) -> DataFrame:
 
 def graph_sources(i: Inputs) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
     nodes = i._stage("comparison-nodes", lambda: comparison_nodes(i))
-    r = i.before(G.mapped_returns(i.returns(), nodes), "ts")
+    r = i._stage("comparison-returns", lambda: i.before(G.mapped_returns(i.returns(), nodes), "ts"))
     models = M.as_models(
         observed=G.induced(i.edges(), nodes), granger=B.granger_graph(r, 0.10), partial_corr=B.partial_correlation_graph(r, 0.02)
     )

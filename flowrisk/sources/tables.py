@@ -30,6 +30,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows of a scan with fewer splits than cores (one small file) over all cores.
+
+    A large table has more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens(spark: SparkSession) -> DataFrame:
     return literal_relation(spark, TOKENS, "token_addr string, sym string, dec int")
 
@@ -40,7 +49,9 @@ def documented_edges(spark: SparkSession) -> DataFrame:
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block_time, token_addr, from_addr, to_addr, value): buyer pays supplier or is refunded."""
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice", "l_discount"
+    ), "l_orderkey")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     buyer = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
@@ -51,7 +62,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(paid, buyer).otherwise(supplier).alias("from_addr"),
         F.when(paid, supplier).otherwise(buyer).alias("to_addr"),
         F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000)
-        .cast("decimal(38,0)")
+        .cast("decimal(18,0)")
         .alias("value"),
     )
 
