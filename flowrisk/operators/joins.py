@@ -11,13 +11,18 @@ from flowrisk.session import BROADCAST_ROWS
 MAX_KEYS = 2_000
 
 
-def sized(dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``dim`` with a broadcast hint if it has at most ``bound`` rows.
+def fits(dim: DataFrame, bound: int | None = None) -> bool:
+    """Whether ``dim`` has at most ``bound`` rows (``BROADCAST_ROWS`` by default). The count stops there."""
+    bound = BROADCAST_ROWS if bound is None else bound
+    return dim.limit(bound + 1).count() <= bound
+
+
+def sized(dim: DataFrame, bound: int | None = None) -> DataFrame:
+    """``dim`` with a broadcast hint if it fits.
 
     Above the bound the join shuffles, and AQE splits the partitions of hot keys.
-    The count stops at ``bound`` rows.
     """
-    return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim
+    return F.broadcast(dim) if fits(dim, bound) else dim
 
 
 def bounded(small: DataFrame) -> DataFrame:

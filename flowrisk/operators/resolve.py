@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions.names import root_entity
 from flowrisk.functions.time import between, bucket
-from flowrisk.operators.joins import sized
+from flowrisk.operators.joins import fits, sized
 
 RESIDUAL = "retail"
 # Provenance of a resolved name, and the documented confidence per source.
@@ -57,7 +57,6 @@ def scaled_transfers(transfers: DataFrame, tokens: DataFrame, start: str | None
 
 def with_names(t: DataFrame, book: DataFrame) -> DataFrame:
     """Attach name, provenance and root of both endpoints; unknown ones are the residual."""
-    book = sized(book)
     for side in ("from", "to"):
         b = book.select(
             F.col("addr").alias(f"{side}_addr"),
@@ -92,13 +91,22 @@ def resolved_flows(
 
     The volume filter applies to raw names, before sub-wallets collapse to roots.
     """
-    named = with_names(scaled_transfers(transfers, tokens, start, end), book)
+    t = scaled_transfers(transfers, tokens, start, end).select(
+        bucket(F.col("block_time"), unit).alias("bucket"), "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx")
+    )
+    if fits(book):
+        book = F.broadcast(book)
+    else:
+        # The transfers are shuffled by address, so those of a pair are added up first: what
+        # a busy pair sends to a join is one row per bucket.
+        t = t.groupBy("bucket", "from_addr", "to_addr").agg(F.sum("amount").alias("amount"), F.sum("n_tx").alias("n_tx"))
     raw = (
-        named.where((F.col("from_name") != RESIDUAL) | (F.col("to_name") != RESIDUAL))
-        .groupBy(bucket(F.col("block_time"), unit).alias("bucket"), "from_name", "to_name")
+        with_names(t, book)
+        .where((F.col("from_name") != RESIDUAL) | (F.col("to_name") != RESIDUAL))
+        .groupBy("bucket", "from_name", "to_name")
         .agg(
             F.sum("amount").alias("usd"),
-            F.count("*").alias("n_tx"),
+            F.sum("n_tx").alias("n_tx"),
             F.max("from_src").alias("src_prov"),
             F.max("to_src").alias("dst_prov"),
             F.min("from_root").alias("src"),

@@ -15,6 +15,7 @@ from flowrisk.operators import backtest as V
 from flowrisk.operators import baselines as B
 from flowrisk.operators import battery as Y
 from flowrisk.operators import graph as G
+from flowrisk.operators import joins
 from flowrisk.operators import resolve as R
 from flowrisk.operators import scenarios as C
 from flowrisk.operators import series as S
@@ -72,8 +73,10 @@ def test_volume_filter_applies_before_the_collapse(spark):
     assert [(r["src"], r["dst"], r["usd"], r["n_tx"]) for r in out] == [("Kraken", "retail", 9.0, 1)]
 
 
-def test_skewed_lookup_is_whole(spark):
-    """One address with most rows; the result must count every transfer on both join strategies."""
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_skewed_lookup_is_whole(spark, monkeypatch, bound):
+    """One address with most rows; every transfer counts, whether the book is broadcast or shuffled."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
     rows = spark.range(20_000).select(
         F.lit(T0).cast("timestamp_ntz").alias("block_time"), F.lit("t").alias("token_addr"),
         F.when(F.col("id") % 3 > 0, "hub").otherwise(F.concat(F.lit("u"), "id")).alias("from_addr"), F.lit("sink").alias("to_addr"),
@@ -352,7 +355,7 @@ def test_scenarios_match_a_plain_loop(small_world):
 def test_chain_propagation(spark):
     """A -> B -> C with weights one half; forcing A to 1 gives B 0.5 and C 0.25 in the limit of the chain."""
     sys = spark.createDataFrame(
-        [("m", ["A", "B", "C"], [0.0, 0, 0, 0.5, 0, 0, 0, 0.5, 0], [0.0] * 9, [0.0] * 3, [1.0] * 3, [0.0] * 3)],
+        [("m", ["A", "B", "C"], [0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.5, 0.0], [0.0] * 9, [0.0] * 3, [1.0] * 3, [0.0] * 3)],
         "model string, keys array<string>, w array<double>, drive array<double>, init array<double>, hi array<double>, pre array<double>")
     d = {(r["source"], r["target"]): r["delta"] for r in C.deterministic_deltas(sys).collect()}
     assert d["A", "B"] == 0.5 * 2 and d["A", "C"] == 0.25
@@ -432,8 +435,6 @@ def test_homogeneity(spark):
 
 
 def test_key_dimension_is_bounded(spark, monkeypatch):
-    from flowrisk.operators import joins
-
     monkeypatch.setattr(joins, "MAX_KEYS", 2)
     p = long_panel(spark, {"a": [1], "b": [1], "c": [1]})
     with pytest.raises(Exception, match="collapse entities first"):
