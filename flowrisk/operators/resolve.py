@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.functions.names import root_entity
@@ -22,6 +22,20 @@ SOURCE_CONFIDENCE = [
 ]
 
 
+# Aggregates over strings sort their whole input first; provenance is therefore compared as its
+# position in name order, which gives the same maximum from a hash aggregation.
+_SOURCES = sorted(name for name, _ in SOURCE_CONFIDENCE)
+
+
+def _source_rank(col: str) -> Column:
+    return F.array_position(F.array(*map(F.lit, _SOURCES)), F.col(col)).cast("int")
+
+
+def _max_source(col: str) -> Column:
+    """The greatest provenance of a group by name."""
+    return F.get(F.array(*map(F.lit, _SOURCES)), F.max(_source_rank(col)) - 1)
+
+
 def dedupe_labels(labels: DataFrame) -> DataFrame:
     """One name per address: the greatest."""
     return labels.groupBy("addr").agg(F.max("name").alias("name"))
@@ -73,8 +87,8 @@ def _rollup(flows: DataFrame) -> DataFrame:
     return flows.groupBy("bucket", "src", "dst").agg(
         F.sum("usd").alias("usd"),
         F.sum("n_tx").alias("n_tx"),
-        F.max("src_prov").alias("src_prov"),
-        F.max("dst_prov").alias("dst_prov"),
+        _max_source("src_prov").alias("src_prov"),
+        _max_source("dst_prov").alias("dst_prov"),
     )
 
 
@@ -103,14 +117,13 @@ def resolved_flows(
     raw = (
         with_names(t, book)
         .where((F.col("from_name") != RESIDUAL) | (F.col("to_name") != RESIDUAL))
-        .groupBy("bucket", "from_name", "to_name")
+        # a name has one root, so the roots only ride along as keys
+        .groupBy("bucket", "from_name", "to_name", F.col("from_root").alias("src"), F.col("to_root").alias("dst"))
         .agg(
             F.sum("amount").alias("usd"),
             F.sum("n_tx").alias("n_tx"),
-            F.max("from_src").alias("src_prov"),
-            F.max("to_src").alias("dst_prov"),
-            F.min("from_root").alias("src"),
-            F.min("to_root").alias("dst"),
+            _max_source("from_src").alias("src_prov"),
+            _max_source("to_src").alias("dst_prov"),
         )
         .where(F.col("usd") >= min_volume)
     )

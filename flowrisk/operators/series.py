@@ -7,14 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.time import bucket
-from flowrisk.operators.joins import keys_array
+from flowrisk.operators.joins import keys_array, sized
 
 
 def last_quote(points: DataFrame, unit: str) -> DataFrame:
-    """(ts, key, price): the last quote of every bucket."""
-    return points.groupBy(bucket(F.col("ts"), unit).alias("b"), "key").agg(
-        F.max_by("price", F.struct("ts", "seq")).alias("price")
-    ).select(F.col("b").alias("ts"), "key", "price")
+    """(ts, key, price): the last quote of every bucket; of simultaneous ones the last ``seq``.
+
+    Two hash aggregations over numbers: the last time per bucket, then the last of the quotes
+    at that time. One aggregation over (ts, seq) pairs would sort all quotes.
+    """
+    q = points.withColumn("b", bucket(F.col("ts"), unit))
+    last = sized(q.groupBy("b", "key").agg(F.max("ts").alias("ts")))
+    at_last = q.join(last, ["b", "key", "ts"], "left_semi")
+    return at_last.groupBy("b", "key").agg(F.max_by("price", "seq").alias("price")).select(F.col("b").alias("ts"), "key", "price")
 
 
 def grid(calendar: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
