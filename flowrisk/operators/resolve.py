@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowrisk.functions.names import root_entity
 from flowrisk.functions.time import between, bucket
 from flowrisk.operators.joins import fits, sized
+from flowrisk.session import write_table
 
 RESIDUAL = "retail"
 # Provenance of a resolved name, and the documented confidence per source.
@@ -160,6 +161,7 @@ def to_usd(token_flows: DataFrame, price: DataFrame | None, scaled: list[str], d
     else:
         from flowrisk.operators.series import fill_both_ways
 
+        token_flows = write_table(token_flows, "token-flows")  # read for the calendar and for the volumes
         calendar = token_flows.select(F.col("bucket").alias("ts")).distinct()
         filled = fill_both_ways(calendar.join(price.select("ts", "price"), "ts", "left"), "price")
         mean = price.agg(F.avg("price")).scalar()

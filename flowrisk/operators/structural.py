@@ -89,7 +89,7 @@ def fit(rows: DataFrame, alpha: float = 1.0, min_rows: int = 1) -> DataFrame:
 
     schema = "model string, child string, b double, w array<double>, n long"
     coef = _grams(rows).groupBy("model", "child").applyInPandas(solve, schema)
-    mean = rows.groupBy("model", "child").agg(F.avg("y").alias("ybar"), F.first("parents").alias("parents"))
+    mean = rows.groupBy("model", "child", "parents").agg(F.avg("y").alias("ybar"))
     k = F.size("parents")
     short = F.col("n") < min_rows
     zeros = F.array_repeat(F.lit(0.0), k)
