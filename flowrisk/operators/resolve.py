@@ -101,14 +101,17 @@ def resolved_flows(
     min_volume: float = 5e6,
     start: str | None = None,
     end: str | None = None,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
     """Bucketed entity-to-entity flows (bucket, src, dst, usd, n_tx, src_prov, dst_prov).
 
-    The volume filter applies to raw names, before sub-wallets collapse to roots.
+    The volume filter applies to raw names, before sub-wallets collapse to roots. Token units
+    count as USD unless ``rates(bucket, sym, rate)`` says otherwise.
     """
-    t = scaled_transfers(transfers, tokens, start, end).select(
-        bucket(F.col("block_time"), unit).alias("bucket"), "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx")
-    )
+    t = scaled_transfers(transfers, tokens, start, end).withColumn("bucket", bucket(F.col("block_time"), unit))
+    if rates is not None:
+        t = t.join(sized(rates), ["bucket", "sym"], "left").withColumn("amount", F.col("amount") * F.coalesce("rate", F.lit(1.0)))
+    t = t.select("bucket", "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx"))
     if fits(book):
         book = F.broadcast(book)
     else:

@@ -30,6 +30,13 @@ def grid(calendar: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFram
     return calendar.select("ts").distinct().select("ts", F.explode(keys_array(keys, key_col)).alias("key"))
 
 
+def dense(calendar: DataFrame, unit: str) -> DataFrame:
+    """(ts): every bucket from the first to the last one of the calendar."""
+    step = F.make_interval(**{"hour": {"hours": F.lit(1)}, "day": {"days": F.lit(1)}, "week": {"weeks": F.lit(1)}}[unit])
+    span = calendar.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return span.where(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b", step)).alias("ts"))
+
+
 def on_grid(grid: DataFrame, panel: DataFrame) -> DataFrame:
     """``panel`` reindexed to the grid; absent observations are NULL."""
     return grid.join(panel, ["ts", "key"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowrisk.functions.draws import normal
 from flowrisk.operators.joins import bounded
 from flowrisk.operators.resolve import RESIDUAL, endpoints
-from flowrisk.operators.series import drawdown, fill_forward, grid, on_grid, rolling, rolling_mean, zscore
+from flowrisk.operators.series import dense, drawdown, fill_forward, grid, on_grid, rolling, rolling_mean, zscore
 
 
 @dataclass(frozen=True)
@@ -25,8 +25,10 @@ class Roll:
 DAILY, HOURLY, EVENT = Roll(30, 5), Roll(48, 6), Roll(14, 3)
 
 
-def calendar(flows: DataFrame) -> DataFrame:
-    return flows.select(F.col("bucket").alias("ts")).distinct()
+def calendar(flows: DataFrame, unit: str | None = None) -> DataFrame:
+    """(ts): the buckets with flow; with ``unit`` also the empty ones between them."""
+    cal = flows.select(F.col("bucket").alias("ts")).distinct()
+    return cal if unit is None else dense(cal, unit)
 
 
 def flow_entities(flows: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -35,7 +37,7 @@ def flow_entities(flows: DataFrame, extra: DataFrame | None = None) -> DataFrame
     return (e.union(extra.select("entity")) if extra is not None else e).distinct()
 
 
-def entity_flow_series(flows: DataFrame, entities: DataFrame) -> DataFrame:
+def entity_flow_series(flows: DataFrame, entities: DataFrame, unit: str | None = None) -> DataFrame:
     """(ts, key, inflow, outflow, net_outflow) on the flow calendar, zero where idle.
 
     The grid enters as zero rows of the same aggregation, which saves a join.
@@ -50,7 +52,7 @@ def entity_flow_series(flows: DataFrame, entities: DataFrame) -> DataFrame:
             )
         ),
     ).join(bounded(entities.select(F.col("entity").alias("key"))), "key", "left_semi")
-    base = grid(calendar(flows), entities, "entity").select("ts", "key", zero.alias("inflow"), zero.alias("outflow"))
+    base = grid(calendar(flows, unit), entities, "entity").select("ts", "key", zero.alias("inflow"), zero.alias("outflow"))
     return (
         base.unionByName(legs)
         .groupBy("key", "ts")
@@ -66,9 +68,9 @@ def _net_ratio(series: DataFrame, roll: Roll) -> DataFrame:
     return s.withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
 
 
-def flow_stress(flows: DataFrame, entities: DataFrame, roll: Roll = HOURLY) -> DataFrame:
+def flow_stress(flows: DataFrame, entities: DataFrame, roll: Roll = HOURLY, unit: str | None = None) -> DataFrame:
     """0.6 z(net outflow ratio) + 0.4 z(throughput)."""
-    s = _net_ratio(entity_flow_series(flows, entities), roll)
+    s = _net_ratio(entity_flow_series(flows, entities, unit), roll)
     w = rolling(roll.win)
     z = 0.6 * zscore(F.col("ratio"), w, roll.min_periods) + 0.4 * zscore(F.col("total"), w, roll.min_periods)
     return s.select("ts", "key", z.alias("value"))

@@ -14,6 +14,7 @@ from flowrisk.plans.inputs import Inputs
 from flowrisk.plans.oracle import CTES, collapsed, compose, throughput
 from flowrisk.plans.queries import query
 from flowrisk.sources import tables as T
+from flowrisk.sources.ingest import rejected, typed_transfers
 from flowrisk.sources.registry import literal_relation
 
 FLOW_COLS = "bucket, src, dst, round(usd, 4) AS usd, n_tx, src_prov, dst_prov"
@@ -29,6 +30,27 @@ def _resolved_daily(i: Inputs) -> DataFrame:
     return rounded(i.resolved("day"), 4)
 
 
+RAW_SQL = """
+SELECT l_returnflag AS token, CASE WHEN l_linenumber = 1 THEN 'n/a' WHEN l_linenumber = 2 THEN concat('1', repeat('0', 40))
+  ELSE CAST(CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT) AS VARCHAR) END AS value FROM lineitem"""
+
+
+@query("rejected_transfers", f"""
+SELECT lower(token) AS token_addr, count(*) AS n_rows, count(*) FILTER (TRY_CAST(value AS DECIMAL(38, 0)) IS NULL) AS n_rejected,
+  sum(TRY_CAST(value AS DECIMAL(38, 0)))::DOUBLE AS total FROM ({RAW_SQL}) GROUP BY 1""")
+def _rejected(i: Inputs) -> DataFrame:
+    """Line items as text rows, some of them malformed or too large."""
+    line = F.col("l_linenumber")
+    cents = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long").cast("string")
+    raw = T.read(i.spark, i.dir, "lineitem").select(
+        F.col("l_shipdate").cast("string").alias("block_time"), F.col("l_returnflag").alias("token_addr"),
+        F.lit("A").alias("from_addr"), F.lit("B").alias("to_addr"),
+        F.when(line == 1, "n/a").when(line == 2, F.concat(F.lit("1"), F.repeat(F.lit("0"), 40))).otherwise(cents).alias("value"),
+    )
+    kept = typed_transfers(raw).groupBy("token_addr").agg(F.sum("value").cast("double").alias("total"))
+    return rejected(raw).join(kept, "token_addr", "left")
+
+
 @query("deduped_labels", compose("SELECT addr, name FROM label1"))
 def _labels(i: Inputs) -> DataFrame:
     return R.dedupe_labels(T.address_labels(i.spark, i.dir))

@@ -42,6 +42,7 @@ class Relations:
     tvl: DataFrame | None = None
     documented: DataFrame | None = None
     market: str | None = None
+    rates: DataFrame | None = None  # (bucket, sym, rate) in USD; tokens without a rate count one to one
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,8 @@ class Settings:
     granger_alpha: float = 0.10
     pcorr: float = 0.2
     abduction: str = "observed"
+    graph_cutoff: str | None = None  # build the graph from earlier flows only
+    dense_calendar: bool = False  # fill empty buckets between observed ones
 
 
 # Parameters of the daily run.
@@ -95,13 +98,14 @@ class Evaluation:
         s, rel = self.s, self.rel
         book = write_table(R.address_book(rel.seed, rel.labels), "book")
         resolved = write_table(
-            R.resolved_flows(rel.transfers, rel.tokens, book, s.unit, s.min_volume, s.start, s.end), "resolved"
+            R.resolved_flows(rel.transfers, rel.tokens, book, s.unit, s.min_volume, s.start, s.end, rel.rates), "resolved"
         )
         return write_table(R.top_k_entities(resolved, self.seed_names, s.top_k), "flows")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return write_table(G.build_graph(self.flows, self.s.min_usd, self.rel.documented), "edges")
+        flows = self.flows if self.s.graph_cutoff is None else self.flows.where(F.col("bucket") < at(self.s.graph_cutoff))
+        return write_table(G.build_graph(flows, self.s.min_usd, self.rel.documented), "edges")
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -111,7 +115,7 @@ class Evaluation:
             out = X.typed_stress(self.flows, types, rel.refs, rel.prices, rel.tvl, rel.market, s.roll)
         else:
             extra = self.seed_names.withColumnRenamed("name", "entity") if s.seeds_in_panel else None
-            out = X.flow_stress(self.flows, X.flow_entities(self.flows, extra), s.roll)
+            out = X.flow_stress(self.flows, X.flow_entities(self.flows, extra), s.roll, s.unit if s.dense_calendar else None)
         if s.peg is not None:
             peg = X.peg_stress(X.calendar(self.flows), rel.prices, *s.peg, s.roll)
             known = out.select("key").distinct()

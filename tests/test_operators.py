@@ -22,6 +22,7 @@ from flowrisk.operators import series as S
 from flowrisk.operators import stress as X
 from flowrisk.operators import structural as M
 from flowrisk.sources import market
+from flowrisk.sources.ingest import number
 from flowrisk.sources.registry import explode_registry, literal_relation
 from flowrisk.sources.sinks import load_result, save_result
 
@@ -89,6 +90,33 @@ def test_skewed_lookup_is_whole(spark, monkeypatch, bound):
     assert out == {("Hub", "Sink"): hub, ("retail", "Sink"): 20_000 - hub}
 
 
+def test_usd_conversion(spark):
+    tok = spark.createDataFrame([(day(0), "W", "a", "b", 2.0, 1), (day(1), "W", "a", "b", 1.0, 1), (day(1), "U", "a", "b", 5.0, 2)],
+                                "bucket timestamp_ntz, sym string, src string, dst string, volume double, n_tx long")
+    price = spark.createDataFrame([(day(1), 10.0)], "ts timestamp_ntz, price double")
+    got = {r["bucket"]: r["usd"] for r in R.to_usd(tok, price, ["W"]).collect()}
+    assert got == {day(0): 20.0, day(1): 15.0}
+    assert {r["bucket"]: r["usd"] for r in R.to_usd(tok, None, ["W"]).collect()} == {day(0): 6000.0, day(1): 3005.0}
+    tokens = literal_relation(spark, [("w", "W", 0), ("u", "U", 0)], "token_addr string, sym string, dec int")
+    tr = spark.createDataFrame([(T0, "w", "k", "x", 2), (T0, "u", "k", "x", 3)],
+                               "block_time timestamp_ntz, token_addr string, from_addr string, to_addr string, value long")
+    book = R.address_book(spark.createDataFrame([("k", "K")], "addr string, name string"), spark.createDataFrame([], "addr string, name string"))
+    rates = spark.createDataFrame([(T0, "W", 10.0)], "bucket timestamp_ntz, sym string, rate double")
+    assert R.resolved_flows(tr, tokens, book, "day", 0.0, rates=rates).first()["usd"] == 23.0
+
+
+def test_text_fields(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), (None,)], "v string")
+    assert [r[0] for r in df.select(number("v")).collect()] == [1.5, 0.0, 0.0, 0.0]
+
+
+def test_dense_calendar(spark):
+    flows = spark.createDataFrame([(day(0), "a", "b", 1.0), (day(3), "a", "b", 1.0)], NO_FLOWS)
+    assert [r["ts"] for r in X.calendar(flows, "day").orderBy("ts").collect()] == [day(k) for k in range(4)]
+    s = X.entity_flow_series(flows, X.flow_entities(flows), "day").where("key = 'a'").orderBy("ts").collect()
+    assert [r["outflow"] for r in s] == [1.0, 0.0, 0.0, 1.0]
+
+
 def test_registry_explodes(spark):
     reg = spark.createDataFrame([("E", "CEX", None, ["0xA", "0xB"])], "name string, type string, ref_id string, addresses array<string>")
     seed, types = explode_registry(reg)
