@@ -18,8 +18,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("doc"))
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
 def _moment(seconds: Column) -> Column:
-    return F.timestamp_micros(F.round(seconds * 1e6).cast("long")).cast("timestamp_ntz")
+    """Zone-less UTC time of epoch seconds, whatever the session's time zone."""
+    return _epoch() + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def price_series(docs: DataFrame, unit: str) -> DataFrame:
@@ -51,7 +56,9 @@ def tvl_series(docs: DataFrame) -> DataFrame:
 
 
 def _seconds(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / 1e6
+    span = ts - _epoch()
+    part = lambda name: F.extract(F.lit(name), span).cast("double")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
 
 
 def _points(quotes: DataFrame, time_field: str, value_field: str) -> DataFrame:
