@@ -82,16 +82,16 @@ WITH tok AS (SELECT date_trunc('day', block_time)::TIMESTAMP AS bucket, token, c
   FROM transfers t LEFT JOIN seed sf ON t.from_addr = sf.addr LEFT JOIN seed st ON t.to_addr = st.addr
   WHERE sf.name IS NOT NULL OR st.name IS NOT NULL GROUP BY ALL),
 px AS (SELECT c.bucket, p.price FROM (SELECT DISTINCT bucket FROM tok) c
-  LEFT JOIN (SELECT ts, price FROM day_prices WHERE key = '1-URGENT') p ON p.ts = c.bucket),
+  LEFT JOIN (SELECT ts, price / 100000 AS price FROM day_prices WHERE key = '1-URGENT') p ON p.ts = c.bucket),
 filled AS (SELECT bucket, coalesce(last_value(price IGNORE NULLS) OVER (ORDER BY bucket),
   first_value(price IGNORE NULLS) OVER (ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS px FROM px)
-SELECT t.bucket, src, dst, round(sum(volume * CASE WHEN token = 'R' THEN px ELSE 1 END), 1) AS usd, sum(n_tx)::BIGINT AS n_tx
+SELECT t.bucket, src, dst, round(sum(volume * CASE WHEN token = 'R' THEN px ELSE 1 END), 4) AS usd, sum(n_tx)::BIGINT AS n_tx
 FROM tok t JOIN filled f ON t.bucket = f.bucket GROUP BY ALL"""),
 )
 def _labelled_usd(i: Inputs) -> DataFrame:
     tok = R.labelled_token_flows(i.transfers(), i.tokens(), i.seed(), "day")
-    price = i.prices("day").where(F.col("key") == "1-URGENT")
-    return rounded(R.to_usd(tok, price, T.ETH_LIKE_TOKENS), 1)
+    price = i.prices("day").where(F.col("key") == "1-URGENT").withColumn("price", F.col("price") / 100000)
+    return rounded(R.to_usd(tok, price, T.ETH_LIKE_TOKENS), 4)
 
 
 @query(
