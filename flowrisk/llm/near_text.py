@@ -15,6 +15,8 @@ from flowrisk.llm.linking import clusters, components, spanning, tiles
 from flowrisk.session import write_table
 
 SLICE_BYTES = 1 << 19
+#: The keys of candidates are broadcast to the texts up to this size; beyond it texts are shuffled to them.
+BROADCAST_BYTES, MEMBER_BYTES = 64 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -165,7 +167,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", how: Settings = DEFAUL
     classes = full.groupBy(*same).agg(F.min("key").alias("rep"), F.max("key").alias("last"))
     firsts = full.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     clustered = write_table(clusters(table_keys(firsts.select("key", "parts"), how), "table_key", "key"), "clusters")
-    wanted = clustered.select(F.col("member").alias(key)).distinct()
+    wanted = write_table(clustered.select(F.col("member").alias(key)).distinct(), "members")
+    if wanted.count() * MEMBER_BYTES <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
     sets = write_table(shingle_sets(docs.select(key, "text").join(wanted, key, "left_semi"), key, how.width), "shingles")
     found = links(clustered, sets.dropDuplicates(["key"]), how.percent, partitions(docs))
     connected = components(found)
