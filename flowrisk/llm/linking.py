@@ -18,9 +18,10 @@ def clusters(keyed: DataFrame, key: str, member: str) -> DataFrame:
     All members of a key are in the cluster of its smallest member, so every pair that shares a
     key shares a cluster. The many keys that a group of similar rows has in common mostly have the same smallest
     member and fall together. Keys with one member drop out. Both aggregations combine on the map side; a
-    hot key's rows meet its one aggregate row in a join that AQE can split.
+    hot key's rows meet its one aggregate row, written before, in a join that AQE can split.
     """
     shared = keyed.groupBy(key).agg(F.min(member).alias("rep"), F.max(member).alias("last")).filter("rep < last")
+    shared = write_table(shared, "shared-keys")
     return keyed.join(shared.select(key, "rep"), key).select("rep", F.col(member).alias("member")).distinct()
 
 
@@ -30,7 +31,7 @@ def tiles(clustered: DataFrame, tile: int = TILE) -> DataFrame:
     A cluster of n members has n / tile blocks, dealt by hash; each member goes to every tile of
     its block. So a tile holds about two blocks at most, however large the cluster.
     """
-    sizes = clustered.groupBy("rep").agg(F.count("*").alias("n"))
+    sizes = write_table(clustered.groupBy("rep").agg(F.count("*").alias("n")), "cluster-sizes")
     sized = clustered.join(sizes, "rep").withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     dealt = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", how: Settings = DEFAUL
     same = [F.col("same")[i].alias(f"s{i}") for i in (0, 1)]
     classes = full.groupBy(*same).agg(F.min("key").alias("rep"), F.max("key").alias("last"))
     firsts = full.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    clustered = write_table(clusters(table_keys(firsts.select("key", "parts"), how), "table_key", "key"), "clusters")
+    clustered = write_table(clusters(write_table(table_keys(firsts.select("key", "parts"), how), "table-keys"), "table_key", "key"), "clusters")
     wanted = write_table(clustered.select(F.col("member").alias(key)).distinct(), "members")
     if wanted.count() * MEMBER_BYTES <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)

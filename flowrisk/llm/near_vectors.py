@@ -156,7 +156,7 @@ def near_duplicates(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
     classes = write_table(good.groupBy("label", "h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     firsts = good.join(classes, ["label", "h0", "h1"]).filter("vec_id = rep").dropDuplicates(["label", "h0", "h1"])
     firsts = write_table(firsts.select("rep", "label", "embedding", "n"), "vectors")
-    clustered = write_table(clusters(_keyed(firsts, how), "cell", "member"), "vector-clusters")
+    clustered = write_table(clusters(write_table(_keyed(firsts, how), "cells"), "cell", "member"), "vector-clusters")
     of = clustered.groupBy("member").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     payload = firsts.join(of, firsts["rep"] == of["member"]).select("member", "label", "embedding", "n", "reps")
     work = tiles(clustered, TILE).join(payload, "member").select("rep", "lo", "hi", "block", "member", "label", "embedding", "n", "reps")

@@ -278,11 +278,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: i
     rows = _identified(docs, key)
     n_parts = partitions(docs)
     all_runs = write_table(_all_runs(rows, length, gram), "runs")
-    shared = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    shared = write_table(all_runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
     met = write_table(all_runs.join(shared, "anchor"), "runs-met")
     classes = met.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("key", "place", "n")).alias("first"))
     classes = write_table(classes, "run-classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    several = write_table(classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "mixed-anchors")
     lo = F.col("first.place").bitwiseAND(F.lit((1 << 38) - 1))
     wanted = classes.join(several, "anchor").select(
         F.col("first.key").alias("key"), F.shiftright("first.place", 38).alias("mark"),
