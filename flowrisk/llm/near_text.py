@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", how: Settings = DEFAUL
     """
     signed = write_table(signatures(docs, key, how), "signatures")
     full = signed.filter("n_shingles > 0 and key is not null")
-    same = [F.col("same")[i].alias(f"s{i}") for i in (0, 1)]
+    same = [F.get("same", F.lit(i)).alias(f"s{i}") for i in (0, 1)]
     classes = full.groupBy(*same).agg(F.min("key").alias("rep"), F.max("key").alias("last"))
     firsts = full.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     clustered = write_table(clusters(write_table(table_keys(firsts.select("key", "parts"), how), "table-keys"), "table_key", "key"), "clusters")
