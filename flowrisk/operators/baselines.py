@@ -36,13 +36,14 @@ def tail_mean(returns: DataFrame, q: float = 0.05) -> DataFrame:
     return m.withColumn("rank", F.rank().over(W.orderBy("mes")))
 
 
-def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> DataFrame:
+def quantile_regression(data: DataFrame, q: float) -> DataFrame:
     """(key, a, b): the line minimising the pinball loss of ``y`` on ``x``, for all keys at once.
 
     Walks along edges of the linear programme. Of all lines through a pivot point the best
     slope is a weighted quantile of the slopes to the other points, found by a running
     weight per key; its point is the next pivot. When two points select each other the line is
-    optimal. Only the pivots (one row per key) pass through the driver. ``data`` is read every
+    optimal. A pair that comes back without being mutual would be a cycle on ties, which is an
+    error; no unfinished line is returned. Only the pivots (one row per key) pass through the driver. ``data`` is read every
     round and should be a stage.
     """
     spark = data.sparkSession
@@ -55,10 +56,8 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
     )
     pivots = {r["key"]: (r["p"]["ts"], r["p"]["x"], r["p"]["y"], None) for r in start.collect()}
     lines: dict[str, tuple[float, float]] = {}
-    for _ in range(max_rounds):
-        open_pivots = {k: p for k, p in pivots.items() if k not in lines}
-        if not open_pivots:
-            break
+    tried: set[tuple] = set()
+    while open_pivots := {k: p for k, p in pivots.items() if k not in lines}:
         table = literal_relation(
             spark, [(k, p[0], p[1], p[2]) for k, p in open_pivots.items()],
             "key string, pts timestamp_ntz, px double, py double",
@@ -83,12 +82,11 @@ def quantile_regression(data: DataFrame, q: float, max_rounds: int = 100) -> Dat
                 lines[k] = (y, 0.0)
             elif p["ts"] == came_from:
                 lines[k] = (y - p["s"] * x, p["s"])
+            elif (k, ts, p["ts"]) in tried:
+                raise RuntimeError(f"quantile regression of {k} cycles on tied points")
             else:
+                tried.add((k, ts, p["ts"]))
                 pivots[k] = (p["ts"], p["x"], p["y"], ts)
-    else:
-        for k, (_, x, y, _f) in pivots.items():
-            if k not in lines and k in found:
-                lines[k] = (y - found[k]["s"] * x, found[k]["s"])
     return literal_relation(spark, [(k, a, b) for k, (a, b) in lines.items()], "key string, a double, b double")
 
 

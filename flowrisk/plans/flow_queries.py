@@ -36,10 +36,11 @@ SELECT l_returnflag AS token, CASE WHEN l_linenumber = 1 THEN 'n/a' WHEN l_linen
 
 
 @query("rejected_transfers", f"""
-SELECT lower(token) AS token_addr, count(*) AS n_rows, count(*) FILTER (TRY_CAST(value AS DECIMAL(38, 0)) IS NULL) AS n_rejected,
-  sum(TRY_CAST(value AS DECIMAL(38, 0)))::DOUBLE AS total FROM ({RAW_SQL}) GROUP BY 1""")
+SELECT lower(token) AS token_addr, count(*) AS n_rows, count(*) FILTER (TRY_CAST(value AS DOUBLE) IS NULL) AS n_rejected,
+  sum(TRY_CAST(value AS DECIMAL(38, 0)))::DOUBLE AS total, round(sum(TRY_CAST(value AS DOUBLE)) / 1e40, 4) AS total_e40
+FROM ({RAW_SQL}) GROUP BY 1""")
 def _rejected(i: Inputs) -> DataFrame:
-    """Line items as text rows, some of them malformed or too large."""
+    """Line items as text rows, some of them malformed, some of 41 digits."""
     line = F.col("l_linenumber")
     cents = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long").cast("string")
     raw = T.read(i.spark, i.dir, "lineitem").select(
@@ -47,7 +48,10 @@ def _rejected(i: Inputs) -> DataFrame:
         F.lit("A").alias("from_addr"), F.lit("B").alias("to_addr"),
         F.when(line == 1, "n/a").when(line == 2, F.concat(F.lit("1"), F.repeat(F.lit("0"), 40))).otherwise(cents).alias("value"),
     )
-    kept = typed_transfers(raw).groupBy("token_addr").agg(F.sum("value").cast("double").alias("total"))
+    kept = typed_transfers(raw).groupBy("token_addr").agg(
+        F.sum(F.when(F.col("value") < 1e38, F.col("value").cast("decimal(38,0)"))).cast("double").alias("total"),
+        F.round(F.sum("value") / 1e40, 4).alias("total_e40"),
+    )
     return rejected(raw).join(kept, "token_addr", "left")
 
 

@@ -13,14 +13,16 @@ def number(col: Column | str) -> Column:
 
 
 def _value(raw: Column) -> Column:
-    return raw.try_cast("decimal(38,0)")
+    """Whole numbers of any length; up to 38 digits are rounded once, by the cast to double."""
+    wide = F.when(raw.rlike(r"^\s*[+-]?[0-9]{39,}\s*$"), raw.try_cast("double"))
+    return F.coalesce(raw.try_cast("decimal(38,0)").cast("double"), wide)
 
 
 def typed_transfers(raw: DataFrame) -> DataFrame:
     """(block_time, token_addr, from_addr, to_addr, value) from text columns of the same names.
 
-    Values beyond 38 digits, or no whole numbers, do not fit and are dropped; ``rejected``
-    counts them.
+    Values are doubles, so that 256-bit integers fit. Rows whose value is no number or whose time is none are
+    left out; ``rejected`` counts them.
     """
     return raw.select(
         F.col("block_time").try_cast("timestamp_ntz").alias("block_time"),

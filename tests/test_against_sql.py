@@ -19,7 +19,7 @@ FAMILIES = [
     "landed_price_documents", "price_panel", "typed_stress", "event_stress", "latent_shock_stress", "delta_covar",
     "granger_tests", "partial_correlations", "var_backtest", "structural_coefficients", "direction_falsification",
     "edge_sensitivity", "tail_loss_matrix", "counterfactual_attribution", "shapley_attribution", "ranking_stability",
-    "paired_block_bootstrap", "address_features", "degree_score_report", "hash_cluster_homogeneity", "event_runs",
+    "paired_block_bootstrap", "rejected_transfers", "address_features", "degree_score_report", "hash_cluster_homogeneity", "event_runs",
 ]
 NAMES = sorted(oracle_sql()) if os.environ.get("FLOWRISK_ALL") else FAMILIES
 

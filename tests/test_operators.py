@@ -22,7 +22,7 @@ from flowrisk.operators import series as S
 from flowrisk.operators import stress as X
 from flowrisk.operators import structural as M
 from flowrisk.sources import market
-from flowrisk.sources.ingest import number
+from flowrisk.sources.ingest import number, rejected, typed_transfers
 from flowrisk.sources.registry import explode_registry, literal_relation
 from flowrisk.sources.sinks import load_result, save_result
 
@@ -450,11 +450,19 @@ def test_embedding_matches_eigenvalues(spark):
 
 
 def test_classifier_refuses_small_classes(spark):
-    nodes = spark.createDataFrame([(f"n{k}", *([1.0] * 11), 0) for k in range(30)],
-                                  "addr string, " + ", ".join(f"{f} double" for f in A.FEATURES) + ", is_labelled int")
+    nodes = spark.createDataFrame([(f"n{k}", 1.0, 2, 0) for k in range(30)], "addr string, tot_vol double, deg int, is_labelled int")
+    assert A.feature_columns(nodes) == ["tot_vol", "deg"]
     assert A.train_classifier(nodes) is None
 
 
+def test_wide_and_bad_values(spark):
+    raw = [("2024-01-01", "T", "A", "B", v) for v in ("5", "1" + "0" * 39, "9" * 77, "-" + "1" * 50, "x", "", None)] + [("never", "T", "A", "B", "7")]
+    table = spark.createDataFrame(raw, "block_time string, token_addr string, from_addr string, to_addr string, value string")
+    got = sorted(r.value for r in typed_transfers(table).collect())
+    assert got == pytest.approx(sorted([5.0, 1e39, float("9" * 77), -float("1" * 50)]))
+    assert tuple(rejected(table).first()) == ("t", 8, 4)
+
+
 def test_homogeneity(spark):
     pure = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "class string, cluster int")
     mixed = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2)], "class string, cluster int")
