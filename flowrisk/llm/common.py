@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-ONE_PARTITION_BYTES = 64 << 20
 
 
 def worker_store(name: str) -> dict:
