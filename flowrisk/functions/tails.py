@@ -23,11 +23,13 @@ def _series(first: Column, ratio, terms: Column | int) -> Column:
 
 
 def chi2_tail_1(x: Column) -> Column:
-    """P(chi-square with 1 df > x), by the all-positive series of the error function."""
+    """P(chi-square with 1 df > x): up to 4 by the all-positive series of the error function, beyond by the
+    continued fraction of its complement. Both have converged to double precision after these terms."""
     z2 = F.greatest(x, F.lit(0.0)) / 2
-    total = _series(F.sqrt(z2), lambda k: 2 * z2 / (2 * k + 1), 250)
-    erf = F.lit(2 / math.sqrt(math.pi)) * F.exp(-z2) * total
-    return F.when(x > 80, 0.0).otherwise(F.greatest(1 - erf, F.lit(0.0)))
+    near = 1 - F.lit(2 / math.sqrt(math.pi)) * F.exp(-z2) * _series(F.sqrt(z2), lambda k: 2 * z2 / (2 * k + 1), 40)
+    z = F.sqrt(F.greatest(z2, F.lit(2.0)))
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda d, k: z + k / 2 / d)
+    return F.when(x <= 4, near).otherwise(F.exp(-z2) / (math.sqrt(math.pi) * fraction))
 
 
 def chi2_tail_2(x: Column) -> Column:

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrisk.session import BROADCAST_ROWS
+from flowrisk.session import BROADCAST_ROWS, write_table
 
-# Largest entity or asset dimension of a panel.
+# Largest entity or asset dimension of a dense matrix.
 MAX_KEYS = 2_000
 
 
 def fits(dim: DataFrame, bound: int | None = None) -> bool:
-    """Whether ``dim`` has at most ``bound`` rows (``BROADCAST_ROWS`` by default). The count stops there."""
-    bound = BROADCAST_ROWS if bound is None else bound
-    return dim.limit(bound + 1).count() <= bound
+    """Whether ``dim``, a written table, has at most ``bound`` rows (``BROADCAST_ROWS`` by default)."""
+    return dim.count() <= (BROADCAST_ROWS if bound is None else bound)
 
 
 def sized(dim: DataFrame, bound: int | None = None) -> DataFrame:
-    """``dim`` with a broadcast hint if it fits.
+    """``dim``, written once, with a broadcast hint if it fits.
 
-    Above the bound the join shuffles, and AQE splits the partitions of hot keys.
+    Its rows are counted in the written files. Above the bound the join shuffles, and AQE splits the partitions of hot keys.
     """
+    dim = write_table(dim, "dimension")
     return F.broadcast(dim) if fits(dim, bound) else dim
 
 
 def bounded(small: DataFrame) -> DataFrame:
     """Broadcast hint for a relation with one row per entity, asset, model or combination of them.
 
-    Entities are bounded by the top-k collapse; ``keys_array``, through which every panel is
-    gridded, enforces ``MAX_KEYS``.
+    Entities are bounded by the top-k collapse and the number of seeds; ``keys_array`` enforces ``MAX_KEYS``
+    where keys span a dense matrix.
     """
     return F.broadcast(small)
 

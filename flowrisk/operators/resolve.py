@@ -112,6 +112,7 @@ def resolved_flows(
     if rates is not None:
         t = t.join(sized(rates), ["bucket", "sym"], "left").withColumn("amount", F.col("amount") * F.coalesce("rate", F.lit(1.0)))
     t = t.select("bucket", "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx"))
+    book = write_table(book, "address-book")
     if fits(book):
         book = F.broadcast(book)
     else:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from flowrisk.functions.time import bucket
 from flowrisk.operators.joins import keys_array, sized
 
+KEYS_PER_LIST = 1_000
+
 
 def last_quote(points: DataFrame, unit: str) -> DataFrame:
     """(ts, key, price): the last quote of every bucket; of simultaneous ones the last ``seq``.
@@ -23,11 +25,16 @@ def last_quote(points: DataFrame, unit: str) -> DataFrame:
 
 
 def grid(calendar: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """Every timestamp of ``calendar(ts)`` with every key of a bounded key dimension.
+    """Every timestamp of ``calendar(ts)`` with every key of ``keys``.
 
-    The keys arrive as one scalar array and are exploded, so the calendar is never joined.
+    Keys are dealt by hash to lists of about ``KEYS_PER_LIST``; a timestamp meets the lists by their number and
+    explodes them.
     """
-    return calendar.select("ts").distinct().select("ts", F.explode(keys_array(keys, key_col)).alias("key"))
+    names = keys.select(F.col(key_col).alias("key")).where(F.col("key").isNotNull()).distinct()
+    n = names.agg(F.greatest(F.ceil(F.count("*") / KEYS_PER_LIST), F.lit(1)).cast("int").alias("n")).scalar()
+    lists = names.withColumn("list", F.pmod(F.xxhash64("key"), n).cast("int")).groupBy("list").agg(F.collect_list("key").alias("keys"))
+    numbered = calendar.select("ts").distinct().select("ts", F.explode(F.sequence(F.lit(0), n - 1)).alias("list"))
+    return numbered.join(lists, "list").select("ts", F.explode("keys").alias("key"))
 
 
 def dense(calendar: DataFrame, unit: str) -> DataFrame:

@@ -166,21 +166,37 @@ def nonflow_sources(entities: DataFrame, known: DataFrame, default_kind: str, de
     )
 
 
-AR_DECAY, AR_MEMORY = 0.7, 104  # 0.7 ** 104 is below double precision
+AR_DECAY = 0.7
+#: Buckets of a block; blocks are scanned apart and linked by their last values.
+AR_BLOCK = 128
 
 
 def latent_shock(panel: DataFrame, seed: int) -> DataFrame:
     """(ts, shock): a standardised AR(1) path on the calendar of the panel.
 
-    The recursion is unrolled over the last ``AR_MEMORY`` innovations, older ones have no weight left.
+    Buckets are numbered within their year and by the totals of earlier years. Each block of positions
+    is scanned from zero; the value at the end of the block before it decays through the block. Only
+    the fold over the ends of blocks, one row each, sees the whole calendar.
     """
-    cal = panel.select("ts").distinct()
-    one = W.partitionBy("series").orderBy("ts")
-    eps = cal.withColumn("series", F.lit(seed)).withColumn("pos", F.row_number().over(one)).withColumn(
-        "eps", normal("latent", seed, F.col("pos"))
+    cal = panel.select("ts").distinct().withColumn("yr", F.year("ts"))
+    years = cal.groupBy("yr").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("yr").rowsBetween(W.unboundedPreceding, -1))
+    offsets = years.select("yr", F.coalesce(before, F.lit(0)).alias("before"))
+    local = F.row_number().over(W.partitionBy("yr").orderBy("ts"))
+    numbered = cal.withColumn("local", local).join(offsets, "yr").withColumn("pos", F.col("before") + F.col("local"))
+    eps = numbered.select(
+        "ts", "pos", F.floor((F.col("pos") - 1) / AR_BLOCK).alias("block"), normal("latent", seed, F.col("pos")).alias("eps")
     )
-    recent = F.collect_list("eps").over(one.rowsBetween(-(AR_MEMORY - 1), 0))
-    x = eps.withColumn("x", F.aggregate(recent, F.lit(0.0), lambda a, e: F.lit(AR_DECAY) * a + e))
+    block = W.partitionBy("block").orderBy("pos")
+    so_far = F.collect_list("eps").over(block.rowsBetween(W.unboundedPreceding, 0))
+    own = eps.withColumns({
+        "own": F.aggregate(so_far, F.lit(0.0), lambda a, e: F.lit(AR_DECAY) * a + e), "age": F.row_number().over(block),
+    })
+    ends = own.groupBy("block").agg(F.max_by("own", "pos").alias("own"), F.count("*").alias("n"))
+    earlier = F.collect_list(F.struct("own", "n")).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    carry = F.aggregate(earlier, F.lit(0.0), lambda a, e: a * F.pow(F.lit(AR_DECAY), e["n"]) + e["own"])
+    x = own.join(ends.select("block", carry.alias("carry")), "block")
+    x = x.select("ts", (F.col("own") + F.col("carry") * F.pow(F.lit(AR_DECAY), F.col("age"))).alias("x"))
     m = x.agg(F.struct(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))).scalar()
     return x.select("ts", ((F.col("x") - m["mean"]) / m["sd"]).alias("shock"))
 

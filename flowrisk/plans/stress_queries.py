@@ -165,7 +165,7 @@ def normal_sql(*parts: str) -> str:
 CTES["latent"] = f"""
 WITH e AS (SELECT ts, row_number() OVER (ORDER BY ts) AS pos FROM (SELECT DISTINCT ts FROM panel)),
 n AS (SELECT ts, pos, {normal_sql("'latent'", '11', 'pos')} AS eps FROM e),
-x AS (SELECT ts, list_reduce(list(eps) OVER (ORDER BY pos ROWS BETWEEN 103 PRECEDING AND CURRENT ROW), lambda a, b: 0.7e0 * a + b, 0e0) AS x FROM n)
+x AS (SELECT ts, list_reduce(list(eps) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, b: 0.7e0 * a + b, 0e0) AS x FROM n)
 SELECT ts, (x - (SELECT avg(x) FROM x)) / (SELECT stddev_samp(x) FROM x) AS shock FROM x"""
 
 

@@ -184,11 +184,11 @@ def test_covariance_matches_numpy(spark):
 
 
 def test_latent_shock_equals_the_recursion(spark):
-    p = long_panel(spark, {"a": [0.0] * 200})
+    p = long_panel(spark, {"a": [0.0] * 500})
     got = X.latent_shock(p, 5).orderBy("ts").toPandas().shock.to_numpy()
     from flowrisk.functions.draws import normal
 
-    eps = spark.range(1, 201).select("id", normal("latent", 5, F.col("id")).alias("e")).orderBy("id").toPandas().e.to_numpy()
+    eps = spark.range(1, 501).select("id", normal("latent", 5, F.col("id")).alias("e")).orderBy("id").toPandas().e.to_numpy()
     x = [eps[0]]
     for e in eps[1:]:
         x.append(0.7 * x[-1] + e)
@@ -226,6 +226,10 @@ def test_tails(spark):
     assert row["odd"] == pytest.approx(0.05)
     assert row["one"] == pytest.approx(0.5)
     assert row["zero"] == 1.0
+    xs = [0.1, 1.0, 3.999, 4.0, 4.001, 9.0, 81.0, 200.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", chi2_tail_1(F.col("x")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["x"] / 2)), rel=1e-9)
 
 
 def test_spearman_with_ties(spark):
@@ -474,4 +478,13 @@ def test_key_dimension_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(joins, "MAX_KEYS", 2)
     p = long_panel(spark, {"a": [1], "b": [1], "c": [1]})
     with pytest.raises(Exception, match="collapse entities first"):
-        S.grid(p, p).collect()
+        S.pair_moments(p).collect()
+    assert S.grid(p, p).count() == 3
+
+
+def test_grid_takes_any_number_of_keys(spark):
+    cal = spark.createDataFrame([(day(0),), (day(1),), (day(1),), (day(2),)], "ts timestamp_ntz")
+    keys = spark.range(5_000).select(F.concat(F.lit("e"), "id").alias("key")).union(spark.createDataFrame([(None,), ("e1",)], "key string"))
+    g = S.grid(cal, keys)
+    assert (g.count(), g.distinct().count(), g.select("key").distinct().count()) == (15_000, 15_000, 5_000)
+    assert S.grid(cal, keys.limit(0)).count() == 0
