@@ -10,6 +10,8 @@ from flowrisk.operators.resolve import RESIDUAL, endpoints
 from flowrisk.session import write_table
 
 OBSERVED, DOCUMENTED = "observed_flow", "documented"
+# Rounds of reachability read apart before they are gathered in one table.
+ROUNDS_HELD = 16
 
 
 def edge_totals(flows: DataFrame) -> DataFrame:
@@ -109,19 +111,21 @@ def graph_size(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reachability(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a directed path of at least one edge.
 
-    Path doubling: each round joins the known pairs with themselves on the middle node,
-    so a diameter of d takes log2(d) rounds. Stops when the number of pairs is stable.
+    Each round extends only the pairs found by the last one, by an edge, and keeps those not known yet;
+    a diameter of d takes d rounds. Rounds are written, and gathered in one table every ``ROUNDS_HELD``
+    rounds so that the plan stays short.
     """
-    reach = write_table(edges.select("src", "dst").distinct())
-    known = reach.count()
-    while True:
-        a, b = reach.alias("a"), reach.alias("b")
-        longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        reach = write_table(reach.union(longer).distinct())
-        n = reach.count()
-        if n == known:
-            return reach
-        known = n
+    steps = write_table(edges.select("src", "dst").distinct(), "reach")
+    after = steps.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+    known = new = steps
+    held = 0
+    while not new.isEmpty():
+        longer = new.join(after, "dst").select("src", F.col("end").alias("dst")).distinct()
+        new = write_table(longer.join(known, ["src", "dst"], "left_anti"), "reach")
+        known, held = known.unionByName(new), held + 1
+        if held == ROUNDS_HELD:
+            known, held = write_table(known, "reach"), 0
+    return known
 
 
 def normalized_adjacency(edges: DataFrame, weight: str = "volume", tiny: float = 1e-9) -> DataFrame:
