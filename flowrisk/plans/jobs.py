@@ -1,13 +1,13 @@
 """End-to-end jobs over a user's own relations; each result is a table.
 
 ``Evaluation`` builds the pipeline once (flows, graph, stress, fit, system) and offers every
-analysis on it. ``evaluate``, ``validate`` and ``events`` run the usual sets.
+analysis on it. ``evaluate``, ``validate``, ``robustness`` and ``events`` run the usual sets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +82,12 @@ DAILY = dict(unit="day", min_volume=5e6, min_usd=1e6, roll=X.DAILY, typed=True,
 class Evaluation:
     """One pipeline: resolution, graph, stress, structural fit and the analyses on top."""
 
-    def __init__(self, rel: Relations, s: Settings, flows: DataFrame | None = None):
+    def __init__(self, rel: Relations, s: Settings, flows: DataFrame | None = None, edges: DataFrame | None = None,
+                 panel: DataFrame | None = None):
+        """Relations that are given take the place of the derived ones."""
         self.rel, self.s = rel, s
-        self._given = flows
+        given = {"flows": flows, "edges": edges, "panel": panel}
+        self.__dict__.update({k: v for k, v in given.items() if v is not None})
 
     # ------------------------------------------------------------ pipeline
     @cached_property
@@ -93,8 +96,6 @@ class Evaluation:
 
     @cached_property
     def flows(self) -> DataFrame:
-        if self._given is not None:
-            return self._given
         s, rel = self.s, self.rel
         book = write_table(R.address_book(rel.seed, rel.labels), "book")
         resolved = write_table(
@@ -126,9 +127,10 @@ class Evaluation:
     def returns(self) -> DataFrame:
         return write_table(S.log_returns(S.price_panel(self.rel.prices)), "returns")
 
-    def _fit(self, models: DataFrame, names: list[str], panel: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = write_table(M.design(M.equations(models, panel, names), panel, flows), "design")
-        return rows, M.fit(rows.where(F.col("ts") < at(self.s.fit_end)), self.s.alpha)
+    def _fit(self, models: DataFrame, names: list[str], panel: DataFrame, flows: DataFrame, flow_lag: int = 0,
+             min_rows: int = 1) -> tuple[DataFrame, DataFrame]:
+        rows = write_table(M.design(M.equations(models, panel, names), panel, flows, flow_lag), "design")
+        return rows, M.fit(rows.where(F.col("ts") < at(self.s.fit_end)), self.s.alpha, min_rows=min_rows)
 
     @cached_property
     def model(self) -> tuple[DataFrame, DataFrame]:
@@ -165,14 +167,28 @@ class Evaluation:
         system = self.event_system if window == self.s.event else self.system(window)
         return C.attribution(system, paths, shocks, sources).drop("model")
 
-    def falsification(self) -> DataFrame:
-        e = self.edges
-        models = M.as_models(true_direction=e, reversed_edges=G.reverse(e), symmetric=G.symmetric(e))
-        rows, coef = self._fit(models, ["true_direction", "reversed_edges", "symmetric"], self.panel, self.flows)
+    def _event_scores(self, flow_lag: int = 0, min_rows: int = 1, **graphs: DataFrame) -> DataFrame:
+        rows, coef = self._fit(M.as_models(**graphs), list(graphs), self.panel, self.flows, flow_lag, min_rows)
         return M.scores(M.predict(self._inside(rows, self.s.event), coef))
 
+    def falsification(self, flow_lag: int = 0, min_rows: int = 1) -> DataFrame:
+        e = self.edges
+        return self._event_scores(flow_lag, min_rows, true_direction=e, reversed_edges=G.reverse(e), symmetric=G.symmetric(e))
+
+    def edge_types(self) -> DataFrame:
+        """Scores with the documented or the observed edges turned around."""
+        e = self.edges
+        doc = F.col("source") == G.DOCUMENTED
+        out = self._event_scores(0, 5, true=e, reverse_documented=G.reverse_where(e, doc), reverse_observed=G.reverse_where(e, ~doc))
+        count = lambda c: e.where(c).agg(F.count("*")).scalar()
+        return out.withColumns({"n_documented": count(doc), "n_observed": count(~doc)})
+
     def graph_sources(self) -> DataFrame:
-        """Scores of the observed and the estimated graphs over the entities that have an asset."""
+        return M.scores(self.graph_source_predictions)
+
+    @cached_property
+    def graph_source_predictions(self) -> DataFrame:
+        """Event predictions of the observed and the estimated graphs over the entities that have an asset."""
         nodes = write_table(
             self.rel.entity_assets.join(self.panel.select(F.col("key").alias("entity")).distinct(), "entity", "left_semi"), "nodes"
         )
@@ -184,7 +200,7 @@ class Evaluation:
         keys = nodes.select(F.col("entity").alias("key"))
         panel = self.panel.join(F.broadcast(keys), "key", "left_semi")
         rows, coef = self._fit(models, ["observed", "granger", "partial_corr"], panel, G.induced(self.flows, nodes))
-        return M.scores(M.predict(self._inside(rows, self.s.event), coef))
+        return write_table(M.predict(self._inside(rows, self.s.event), coef).select("model", "child", "ts", "y", "yhat"), "predictions")
 
     def sensitivity(self) -> DataFrame:
         return M.edge_sensitivity(M.equations(M.as_models(observed=self.edges), self.panel, ["observed"]), self.panel).drop("model")
@@ -201,6 +217,69 @@ class Evaluation:
         """The same pipeline with everything but the seeds collapsed."""
         return Evaluation(self.rel, self.s, write_table(R.seed_only(self.flows, self.seed_names), "seed-flows"))
 
+    def without_residual(self) -> Evaluation:
+        """The same stress and graph with the residual entity left out."""
+        panel = write_table(self.panel.where(F.col("key") != R.RESIDUAL), "named-panel")
+        return Evaluation(self.rel, self.s, G.without_node(self.flows), G.without_node(self.edges), panel)
+
+    def varied(self, edges: DataFrame | None = None, panel: DataFrame | None = None) -> Evaluation:
+        """The same flows with another graph or another stress panel, refitted."""
+        panel = self.panel if panel is None else write_table(panel, "panel")
+        return Evaluation(self.rel, self.s, self.flows, self.edges if edges is None else write_table(edges, "edges"), panel)
+
+    # ------------------------------------------------------------ robustness
+    @cached_property
+    def deterministic_ranking(self) -> DataFrame:
+        return write_table(C.exported_risk(C.deterministic_deltas(self.event_system)), "deterministic")
+
+    def _replay(self) -> tuple[DataFrame, DataFrame]:
+        rows, coef = self.model
+        return C.observed_window(M.predict(rows, coef), self.panel, *self.s.event, self.s.abduction, self.s.fit_end)
+
+    def noisy_system(self, copies: int, sd: float, flows_too: bool) -> DataFrame:
+        """The event system under ``copies`` draws of noise on the coefficients."""
+        rows, coef = self.model
+        noisy = C.perturbed(coef, copies, sd, self.s.seed, flows_too)
+        levels = C.entity_levels(self.panel, self.s.fit_end, self.s.event[0], self.s.q)
+        return C.systems(C.for_models(self._inside(rows, self.s.event), noisy.select("model").distinct()), noisy, levels)
+
+    def shapley(self, target: str, players: list[str]) -> DataFrame:
+        """Shares of the players in the loss of the target; 2^players scenarios."""
+        return C.shapley(C.coalition_losses(self.event_system, *self._replay(), target, players), players).drop("model")
+
+    def attribution_sensitivity(self, source: str, target: str, copies: int = 40, sd: float = 0.15) -> DataFrame:
+        """One row: the share of ``source`` in the loss of ``target``, and its spread under noise on the coefficients."""
+        paths, shocks = self._replay()
+        noisy = self.noisy_system(copies, sd, False)
+        share = lambda y, u: C.attribution(y, paths, u, [source]).where(F.col("target") == target)
+        out = share(noisy, C.for_models(shocks, noisy)).agg(
+            F.avg("share").alias("mean_share"), F.stddev_pop("share").alias("sd"), F.avg((F.col("share") > 0).cast("double")).alias("frac_positive")
+        )
+        return out.select(share(self.event_system, shocks).select("share").scalar().alias("base_share"), "*")
+
+    def ranking_stability(self, copies: int = 25, sd: float = 0.15) -> DataFrame:
+        """One row: agreement of the deterministic ranking with those under noise on the coefficients."""
+        noisy = C.exported_risk(C.deterministic_deltas(self.noisy_system(copies, sd, True)))
+        return C.compare_rankings(self.deterministic_ranking, noisy).agg(
+            F.avg("rho").alias("mean_rho"), F.min("rho").alias("min_rho"), F.avg("top3_overlap").alias("mean_top3_overlap"), F.count("*").alias("n_copies")
+        )
+
+    def weak_edges_dropped(self) -> DataFrame:
+        """Agreement of the ranking with that of the graph without its least robust quarter of edges."""
+        weak = write_table(Y.weakest_edges(self.sensitivity()), "weak-edges")
+        other = self.varied(edges=G.without_edges(self.edges, weak)).deterministic_ranking
+        return C.compare_rankings(self.deterministic_ranking, other).drop("model").withColumn("n_dropped", weak.agg(F.count("*")).scalar())
+
+    def latent_shock_robustness(self, strengths: tuple[float, ...] = (0.3, 0.6), seed: int = 11) -> DataFrame:
+        """Per strength: agreement of the ranking with that under a common shock to all series."""
+        shock = write_table(X.latent_shock(self.panel, seed), "latent-shock")
+        parts = [
+            C.compare_rankings(self.deterministic_ranking, self.varied(panel=X.inject(self.panel, shock, x)).deterministic_ranking)
+            .select(F.lit(float(x)).alias("strength"), "rho", "n", "top3_overlap")
+            for x in strengths
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
 
 def evaluate(e: Evaluation, sources: list[str] | None = None) -> dict[str, DataFrame]:
     """The evaluation run: graph, fit, rankings, attribution, falsification, backtests."""
@@ -242,6 +321,31 @@ def validate(e: Evaluation, transmitters: list[str], absorbers: list[str]) -> di
     return out
 
 
+def robustness(e: Evaluation, target: str, players: list[str], nonflow: DataFrame | None = None, resamples: int = 2000) -> dict[str, DataFrame]:
+    """The robustness battery on the same pipeline.
+
+    ``players`` share the loss of ``target`` (Shapley), the first of them is the source of the attribution under noise.
+    ``nonflow(entity, kind, asset)`` names the price series of a panel without flows (see ``stress.nonflow_stress``).
+    """
+    nodes = e.flows.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+    out = {
+        "bootstrap": Y.paired_bootstrap(e.graph_source_predictions, "observed", "granger", resamples, e.s.seed),
+        "lagged_flow": e.falsification(flow_lag=1, min_rows=5),
+        "edge_types": e.edge_types(),
+        "shapley": e.shapley(target, players),
+        "attribution_sensitivity": e.attribution_sensitivity(players[0], target),
+        "ranking_without_residual": e.without_residual().ranking(),
+        "coverage": G.volume_coverage(e.flows, nodes),
+        "ranking_stability": e.ranking_stability(),
+        "weak_edges_dropped": e.weak_edges_dropped(),
+        "latent_shock_robustness": e.latent_shock_robustness(),
+    }
+    if nonflow is not None:
+        panel = X.nonflow_stress(X.calendar(e.flows), e.rel.prices, nonflow, e.s.roll)
+        out["nonflow_falsification"] = e.varied(panel=panel).falsification(min_rows=5)
+    return out
+
+
 def events(rel: Relations, runs: dict[str, Settings], min_pre: int = 4) -> DataFrame:
     """The same pipeline per event: (event, ok, n_entities, n_pre, n_event, n_edges, model scores).
 
