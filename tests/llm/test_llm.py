@@ -409,6 +409,29 @@ def test_near_vectors(spark):
 # pipeline
 
 
+def near_copies(first, n, rng):
+    """Documents in pairs, the second a copy of 103 words with so many words replaced that 80 to 85 in 100 shingles agree (80 exactly for some), or just fewer."""
+    out, share = [], {}
+    for k in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(103)]
+        copy = list(base)
+        for at in ((50, 99), (50, 94), (50, 94, 102), (50, 94, 101))[k % 4]:
+            copy[at] = "other"
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        share[first + 2 * k] = len(a & b) / len(a | b)
+        out += [(first + 2 * k, " ".join(base)), (first + 2 * k + 1, " ".join(copy))]
+    return out, share
+
+
+def test_near_duplicates_stage(spark):
+    rows, share = near_copies(0, 200, random.Random(7))
+    between = [i for i, s in share.items() if 0.8 <= s < 0.85]
+    assert len(between) == 150 and min(share.values()) < 0.8 in share.values()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, docs, SF).collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i, s in share.items() if s >= 0.8}
+
+
 def test_pipeline(spark, monkeypatch):
     kept = []
 
