@@ -372,6 +372,39 @@ def test_mixed_sample(with_null, nothing):
     assert mixing.mixed(nothing).count() == 0
 
 
+def test_rare_source_does_not_empty_the_sample(spark):
+    size = {"web": 5000, "books": 2000, "code": 900, None: 60}
+    rows = [(s, lang, 10 * n // (1 + k)) for s, n in size.items() for k, lang in enumerate(("en", "de", "fr"))]
+    rare, alone = ("typo", "en", 3), ("typo", "xx", 1)
+    found = {}
+    for name, more in (("plain", []), ("rare", [rare, alone])):
+        cells = spark.createDataFrame(rows + more, "source string, lang string, tokens long")
+        targets = {d: mixing.tempered(cells, d, p) for d, p in (("source", 0.7), ("lang", 0.8))}
+        goal = {d: {r[d]: r.share for r in t.collect()} for d, t in targets.items()}
+        got = {(r.source, r.lang): (r.weight, r.tokens) for r in mixing.rake_within(cells, targets, 0.75).collect()}
+        total = sum(n for _, n in got.values())
+        assert sum(w for w, _ in got.values()) == pytest.approx(0.75 * total) and all(0 < w <= n for w, n in got.values())
+        found[name] = {k: w / n for k, (w, n) in got.items()}
+        for at, d in enumerate(("source", "lang")):  # values with no whole cell keep the proportions of their targets
+            have = {v: sum(w for k, (w, _) in got.items() if k[at] == v) for v in goal[d]}
+            open_values = [v for v in goal[d] if any(w < n for k, (w, n) in got.items() if k[at] == v)]
+            scale = {v: have[v] / goal[d][v] for v in open_values}
+            assert max(scale.values()) == pytest.approx(min(scale.values()), rel=1e-2)
+    assert found["rare"]["typo", "en"] == found["rare"]["typo", "xx"] == 1
+    assert all(found["rare"][k] == pytest.approx(r, abs=0.005) for k, r in found["plain"].items())
+
+
+def test_mixing_stage_keeps_its_share(spark):
+    text = F.concat_ws(" ", F.sequence(F.lit(1), F.lit(9) + F.col("id") % 20))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, "typo").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
+    kept = corpus_pipeline.mixed(spark, docs, SF)
+    n = mixing.tokens(F.col("text"))
+    share = kept.agg(F.sum(n)).first()[0] / docs.agg(F.sum(n)).first()[0]
+    assert kept.columns == docs.columns and abs(share - 0.75) < 0.02 and kept.filter("source = 'typo'").count() == 1
+    assert mixing.mixed(docs, keep=1.0).count() == 20_000
+    assert mixing.mixed(docs.limit(0), keep=0.75).count() == 0
+
+
 # near-duplicate vectors
 
 
