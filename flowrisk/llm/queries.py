@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import decontamination, html_text, mixing, near_text, near_vectors, sharding, suffix_dedup, token_counts, token_files, toxicity
+from flowrisk.llm import (
+    decontamination, divergence, html_text, licenses, mixing, near_text, near_vectors, sharding, sql, suffix_dedup, token_counts, token_files,
+    toxicity, vector_codes,
+)
 from flowrisk.llm.common import text_key
 from flowrisk.session import shared_dir, write_table
 
@@ -99,6 +102,21 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document: the contract's phrases and the labels of public notices."""
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and its ten most telling terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors with their errors, and the digest of the codebooks."""
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 def _overlaps_sql() -> str:
     """The same seeds as lists of words, joined as text, and the same stretches."""
     masks = decontamination.MASKS
@@ -174,6 +192,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_sharding, op3_decontamination, op4_toxicity, op5_token_files,
         op6_suffix_dedup, op7_html_text, op8_near_text, op9_mixing, op10_near_vectors,
+        op11_licenses, op12_divergence, op13_vector_codes,
     )
 }
-SQL: dict[str, str] = {"op3_decontamination": _overlaps_sql(), "op9_mixing": _mixed_sql()}
+SQL: dict[str, str] = {
+    "op3_decontamination": _overlaps_sql(), "op9_mixing": _mixed_sql(), "op11_licenses": sql.licenses_sql(), "op12_divergence": sql.audit_sql(),
+    "op13_vector_codes": sql.codes_sql(),
+}
