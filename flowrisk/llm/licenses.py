@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -92,80 +93,63 @@ def weights(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dic
     return {w: (n.get("", 0) // (n.get(w, 0) + 1)).bit_length() for w in vocabulary}
 
 
-@dataclass(frozen=True)
-class _Entry:
-    """A template in the index: rare words first, then what has to be verified and what is scored."""
-
-    number: int
-    template: Template
-    rare: list[int]
-    keys: list[int]
-    weight: list[int]
-
-
-def _entries(templates: tuple[Template, ...], weight: dict[str, int]) -> list[_Entry]:
+def _index(templates: tuple[Template, ...], weight: dict[str, int]) -> list[dict]:
+    """The templates as index entries: the rarest word of the key phrases, the checks in the order they are made, and the weighted postings."""
     out = []
     for number, t in enumerate(templates):
         text, keys = t.words(), t.key_places()
         if not text or not all(w.isascii() for w in text):
             raise ValueError(f"the template {t.label} needs words, all of them ASCII")
         rare = sorted(keys, key=lambda i: (-weight[text[i]], text[i], i))[:RARE]
+        checks = rare[1:] + [i for i in keys if i not in rare]
         # A template all of whose words are everywhere is scored by plain word counts.
         own = [weight[w] for w in text] if any(weight[w] for w in text) else [1] * len(text)
-        out.append(_Entry(number, t, rare, keys, own))
-    return out
-
-
-def _agree(w: Column, start: Column, text: list[str], places: list[int]) -> Column:
-    """Whether the words at these places of the template stand there when it is laid from word ``start`` on."""
-    out = F.lit(True)
-    for i in places:
-        out = out & F.coalesce(F.get(w, start + i) == text[i], F.lit(False))
+        out.append({
+            "template": number, "label": t.label, "base": t.base, "first": text[rare[0]], "off": rare[0], "whole": sum(own),
+            "checks": [{"off": i, "word": text[i]} for i in checks],
+            "postings": [{"off": i, "word": w, "weight": x} for i, (w, x) in enumerate(zip(text, own, strict=True)) if x],
+        })
     return out
 
 
-def _places(w: Column, looked_up: Column, e: _Entry) -> Column:
-    """Starts of a template: the positions of its rarest word, kept where its other rare words and then its key phrases agree."""
-    text = e.template.words()
-    first, *others = e.rare
-    anchors = F.filter(looked_up, lambda i: F.get(w, i) == text[first])
-    starts = F.filter(F.transform(anchors, lambda i: i - first), lambda s: _agree(w, s, text, others))
-    return F.filter(starts, lambda s: _agree(w, s, text, [i for i in e.keys if i not in e.rare]))
-
-
-def _score(w: Column, start: Column, e: _Entry) -> Column:
-    """Weight of the agreeing words of a template, out of its whole weight."""
-    text = e.template.words()
-    hits = [F.when(F.get(w, start + i) == text[i], x).otherwise(0) for i, x in enumerate(e.weight) if x]
-    return sum(hits[1:], hits[0])
+_ENTRY = (
+    "array<struct<template: int, label: string, base: boolean, first: string, off: int, whole: int, "
+    "checks: array<struct<off: int, word: string>>, postings: array<struct<off: int, word: string, weight: int>>>>"
+)
 
 
 def scanned(docs: DataFrame, weight: dict[str, int], key: list[str], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``key`` columns, n_words, and ``places``: template number, label, base, start, matched and whole weight of every verified place.
 
-    The index holds the ``RARE`` rarest words among the key phrases of each template, with their places in it. A file looks up
+    The index has the ``RARE`` rarest words among the key phrases of each template, with their places in it. A file looks up
     which of its words are in the index; a template is laid where its rare words agree in relative position, and stands
     where all its key phrases do. As every place of the phrases has their rare words in place, none is missed.
     """
-    entries = _entries(templates, weight)
-    index = sorted({e.template.words()[e.rare[0]] for e in entries})
+    entries = _index(templates, weight)
+    rarest = sorted({e["first"] for e in entries})
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*[F.col(c) for c in key], words(text).alias("__w"))
+    rows = docs.select(*key, words(text).alias("__w"))
     w = F.col("__w")
-    at = F.sequence(F.lit(0), F.size(w) - 1)
-    looked_up = F.when(F.arrays_overlap(w, F.array(*map(F.lit, index))), F.filter(at, lambda i: F.get(w, i).isin(index)))
-    rows = rows.withColumn("__at", F.coalesce(looked_up, F.array().cast("array<int>")))
-
-    def laid(e: _Entry) -> Column:
-        whole = sum(e.weight)
-        return F.transform(_places(w, F.col("__at"), e), lambda s: F.struct(
-            F.lit(e.number).alias("template"), F.lit(e.template.label).alias("label"), F.lit(e.template.base).alias("base"),
-            s.cast("long").alias("start"), _score(w, s, e).alias("matched"), F.lit(whole).alias("whole"),
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(rarest))
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("__at", F.when(F.arrays_overlap(w, F.array(*map(F.lit, rarest))), at).otherwise(none))
+
+    def agrees(start: Column, c: Column) -> Column:
+        return F.coalesce(F.get(w, start + c["off"]) == c["word"], F.lit(False))
+
+    def starts(e: Column) -> Column:
+        anchors = F.filter("__at", lambda i: F.get(w, i) == e["first"])
+        return F.filter(F.transform(anchors, lambda i: i - e["off"]), lambda s: F.forall(e["checks"], lambda c: agrees(s, c)))
+
+    def laid(e: Column) -> Column:
+        return F.transform(starts(e), lambda s: F.struct(
+            e["template"].alias("template"), e["label"].alias("label"), e["base"].alias("base"), s.cast("long").alias("start"),
+            F.aggregate(e["postings"], F.lit(0), lambda a, c: a + F.when(agrees(s, c), c["weight"]).otherwise(0)).alias("matched"),
+            e["whole"].alias("whole"),
         ))
 
-    places = F.flatten(F.array(*map(laid, entries)))
-    none = F.array().cast("array<struct<template:int,label:string,base:boolean,start:bigint,matched:int,whole:int>>")
-    places = F.when(F.size("__at") > 0, places).otherwise(none)
+    index = F.from_json(F.lit(json.dumps(entries)), _ENTRY)
+    places = F.flatten(F.transform(F.when(F.size("__at") > 0, index).otherwise(F.slice(index, 1, 0)), laid))
     good = F.filter(places, lambda p: p["base"] | (p["matched"] * 100 >= p["whole"] * MATCHED))
     return rows.select(*key, F.size(w).cast("long").alias("n_words"), good.alias("places"))
 
