@@ -37,14 +37,44 @@ def chi2_tail_2(x: Column) -> Column:
     return F.exp(-F.greatest(x, F.lit(0.0)) / 2)
 
 
+# Coefficients of 1/z, 1/z^3, ... in ln(gamma(z + 1/2) / gamma(z)) - ln(z) / 2.
+_HALF_STEP = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432, 691 / 180224)
+#: Steps up from which that series is exact to double precision; depth at which the continued fraction has converged for any degrees of freedom.
+_SHIFT, _DEPTH = 20, 120
+
+
+def _ln_half_step(a: Column) -> Column:
+    """ln(gamma(a + 1/2) / gamma(a)) for positive ``a``."""
+    z = a + _SHIFT
+    series = sum((c / F.pow(z, F.lit(2.0 * k + 1)) for k, c in enumerate(_HALF_STEP)), F.ln(z) / 2)
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(1.0), lambda p, i: p * (a + i) / (a + i + 0.5))
+    return series + F.ln(down)
+
+
+def _beta_fraction(a: Column | float, b: Column | float, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its far end."""
+
+    def step(v: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + F.when(k % 2 == 0, even).otherwise(odd) / v
+
+    return 1 / F.aggregate(F.sequence(F.lit(_DEPTH), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+
+
 def t_two_sided(t: Column, dof: Column) -> Column:
-    """P(|T| > |t|) for Student's t with a whole number of degrees of freedom (finite sums)."""
-    theta = F.atan(F.abs(t) / F.sqrt(dof.cast("double")))
-    c, s = F.cos(theta), F.sin(theta)
-    even = s * _series(F.lit(1.0), lambda k: (2 * k - 1) / (2 * k) * c * c, ((dof - 2) / 2).cast("int"))
-    odd_sum = F.when(dof > 1, _series(c, lambda k: 2 * k / (2 * k + 1) * c * c, ((dof - 3) / 2).cast("int")))
-    odd = F.lit(2 / math.pi) * (theta + s * F.coalesce(odd_sum, F.lit(0.0)))
-    return F.greatest(1 - F.when(dof % 2 == 0, even).otherwise(odd), F.lit(0.0))
+    """P(|T| > |t|) for Student's t, by the incomplete beta function; the cost does not depend on the degrees of freedom.
+
+    Near the middle the complement is taken, where its fraction converges fast.
+    """
+    nu = dof.cast("double")
+    a, t2 = nu / 2, t * t
+    y = t2 / (nu + t2)
+    front = F.exp(_ln_half_step(a) - math.log(math.pi) / 2 - a * F.log1p(t2 / nu)) * F.sqrt(y)
+    near = 1 - 2 * front * _beta_fraction(0.5, a, y)
+    far = front * _beta_fraction(a, 0.5, nu / (nu + t2)) / a
+    return F.when(F.isnan(t), t).when(t2 == float("inf"), 0.0).when(t2 < 3, F.greatest(near, F.lit(0.0))).otherwise(far)
 
 
 def average_rank(col: str, *by: str) -> Column:

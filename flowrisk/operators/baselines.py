@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.tails import t_two_sided
-from flowrisk.operators.joins import bounded, keys_array
-from flowrisk.operators.series import complete_cases, covariance, pair_moments
+from flowrisk.operators.dense import column_sums, entries, numbered, products, pseudo_inverse, tiles
+from flowrisk.operators.joins import bounded
+from flowrisk.operators.series import complete_cases, covariance
 from flowrisk.session import write_table
 from flowrisk.sources.registry import literal_relation
 
@@ -116,36 +115,26 @@ def correlation_graph(returns: DataFrame, threshold: float = 0.3) -> DataFrame:
 def granger_tests(returns: DataFrame) -> DataFrame:
     """(src, dst, t_stat, dof, p_value, n) of ``r_dst(t) ~ 1 + r_dst(t-1) + r_src(t-1)`` for ordered pairs.
 
-    One pass adds up the moments of all current and lagged series; each 3x3 system is
-    then solved in closed form on the centred moments.
+    The products of two lagged series, and of a lagged and a current one, are added up tile by tile and stay rows (src, dst); sums of
+    single series join them by key. Each 3x3 system is then solved in closed form on the centred moments.
     """
     w = W.partitionBy("key").orderBy("ts")
-    full = write_table(complete_cases(returns), "returns")
-    both = full.withColumn("lagged", F.lag("value").over(w)).where(F.col("lagged").isNotNull())
-    stacked = both.select(
-        "ts", F.inline(F.array(
-            F.struct(F.concat(F.lit("c:"), "key").alias("key"), F.col("value").alias("value")),
-            F.struct(F.concat(F.lit("l:"), "key").alias("key"), F.col("lagged").alias("value")),
-        ))
-    )
-    m = pair_moments(stacked)
-    centred = F.col("s_xy") - F.col("s_x") * F.col("s_y") / F.col("n")
-    table = m.agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "i", "j"), centred))).alias("m"),
-        F.max("n").alias("n"),
-    )
-    names = keys_array(full, "key")
-    g = table.withColumn("names", names).select("m", "n", "names", F.explode("names").alias("src")).select(
-        "m", "n", "src", F.explode("names").alias("dst")
-    ).where("src <> dst")
-
-    def at(a: str, a_col: str, b: str, b_col: str) -> Column:
-        return F.try_element_at("m", F.concat(F.lit(f"{a}:"), F.col(a_col), F.lit(f"|{b}:"), F.col(b_col)))
+    both = complete_cases(returns).withColumn("lagged", F.lag("value").over(w)).where(F.col("lagged").isNotNull())
+    both = write_table(both.select("ts", "key", "value", "lagged"), "lagged")
+    x, y = F.col("lagged"), F.col("value")
+    single = write_table(column_sums(both, {"x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}), "sums")
+    pairs = products(both, numbered(single), [("lagged", "lagged"), ("lagged", "value")])
+    of = lambda side, names: single.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names])
+    g = pairs.withColumnsRenamed({"i": "src", "j": "dst"}).where("src <> dst")
+    g = g.join(of("dst", ["n", "x", "y", "xx", "xy", "yy"]), "dst").join(of("src", ["x", "xx"]), "src")
+
+    def centred(product: str, a: str, b: str) -> Column:
+        return F.col(product) - F.col(a) * F.col(b) / F.col("dst_n")
 
     g = g.select(
-        "src", "dst", "n", at("l", "dst", "l", "dst").alias("s11"), at("l", "src", "l", "src").alias("s22"),
-        at("l", "dst", "l", "src").alias("s12"), at("l", "dst", "c", "dst").alias("s1y"),
-        at("l", "src", "c", "dst").alias("s2y"), at("c", "dst", "c", "dst").alias("syy"),
+        "src", "dst", F.col("dst_n").alias("n"), centred("dst_xx", "dst_x", "dst_x").alias("s11"), centred("src_xx", "src_x", "src_x").alias("s22"),
+        centred("p0", "src_x", "dst_x").alias("s12"), centred("dst_xy", "dst_x", "dst_y").alias("s1y"),
+        centred("p1", "src_x", "dst_y").alias("s2y"), centred("dst_yy", "dst_y", "dst_y").alias("syy"),
     )
     s11, s22, s12, s1y, s2y = (F.col(c) for c in ("s11", "s22", "s12", "s1y", "s2y"))
     det = s11 * s22 - s12 * s12
@@ -159,9 +148,9 @@ def granger_tests(returns: DataFrame) -> DataFrame:
     })
     s2 = (F.col("syy") - F.col("b1") * s1y - F.col("b2") * s2y) / F.col("dof")
     se = F.sqrt(F.greatest(s2 * F.try_divide(s11, det), F.lit(1e-18)))
-    single = F.signum(s12) * F.col("b1") / F.sqrt(F.greatest(F.try_divide(s2, s11), F.lit(1e-18)))
-    g = g.withColumn("t_stat", F.when(collinear, single).otherwise(F.col("b2") / se))
-    return g.select("src", "dst", "t_stat", "dof", t_two_sided(F.col("t_stat"), F.col("dof").cast("int")).alias("p_value"), "n")
+    single_t = F.signum(s12) * F.col("b1") / F.sqrt(F.greatest(F.try_divide(s2, s11), F.lit(1e-18)))
+    g = g.withColumn("t_stat", F.when(collinear, single_t).otherwise(F.col("b2") / se))
+    return g.select("src", "dst", "t_stat", "dof", t_two_sided(F.col("t_stat"), F.col("dof")).alias("p_value"), "n")
 
 
 def granger_graph(returns: DataFrame, alpha: float = 0.10, min_obs: int = 20) -> DataFrame:
@@ -172,24 +161,22 @@ def granger_graph(returns: DataFrame, alpha: float = 0.10, min_obs: int = 20) ->
 
 
 def partial_correlations(returns: DataFrame) -> DataFrame:
-    """(src, dst, pcorr) of all ordered pairs, from the pseudo-inverse of the covariance matrix.
+    """(src, dst, pcorr) of all ordered pairs, from the pseudo-inverse of the covariance matrix; none with fewer than two more observations than assets.
 
-    The one group holds the assets x assets covariance entries.
+    Matrix and inverse are tables of tiles. A series without variance has no partial correlation (null).
     """
-    cov = covariance(returns)
-
-    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["i"].unique())
-        c = pdf.pivot(index="i", columns="j", values="cov").loc[names, names].to_numpy()
-        if pdf["n"].iloc[0] < len(names) + 2:
-            return pd.DataFrame({"src": [], "dst": [], "pcorr": []})
-        p = np.linalg.pinv(c)
-        d = np.sqrt(np.diag(p))
-        pc = -p / np.outer(d, d)
-        a, b = np.where(~np.eye(len(names), dtype=bool))
-        return pd.DataFrame({"src": [names[i] for i in b], "dst": [names[i] for i in a], "pcorr": pc[a, b]})
-
-    return cov.groupBy("n").applyInPandas(invert, "src string, dst string, pcorr double")
+    cov = write_table(covariance(returns), "covariance")
+    keys = numbered(cov.select(F.col("i").alias("key")))
+    size = keys.count()
+    cov = cov.where(F.col("n") >= size + 2)
+    if cov.isEmpty():
+        return returns.sparkSession.createDataFrame([], "src string, dst string, pcorr double")
+    by = lambda side: keys.select(F.col("key").alias(side), F.col("k").alias(f"k{side}"))
+    inverse = write_table(pseudo_inverse(tiles(cov.join(by("i"), "i").join(by("j"), "j"), "cov"), size), "precision")
+    p = entries(inverse).join(by("i"), "ki").join(by("j"), "kj").select("i", "j", "value")
+    own = p.where("i = j")
+    p = p.where("i <> j").join(own.select("i", F.col("value").alias("ii")), "i").join(own.select("j", F.col("value").alias("jj")), "j")
+    return p.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.try_divide(-F.col("value"), F.sqrt(F.col("ii") * F.col("jj"))).alias("pcorr"))
 
 
 def partial_correlation_graph(returns: DataFrame, threshold: float = 0.2) -> DataFrame:

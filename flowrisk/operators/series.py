@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.time import bucket
+from flowrisk.operators.dense import column_sums, numbered, products
 from flowrisk.operators.joins import keys_array, sized
+from flowrisk.session import write_table
 
 KEYS_PER_LIST = 1_000
 
@@ -136,14 +138,18 @@ def positions(panel: DataFrame) -> DataFrame:
 
 
 def covariance(panel: DataFrame) -> DataFrame:
-    """(i, j, n, cov, corr) over the complete cases, both orders and the diagonal."""
-    m = pair_moments(complete_cases(panel))
-    cov = (F.col("s_xy") - F.col("s_x") * F.col("s_y") / F.col("n")) / (F.col("n") - 1)
-    on_diagonal = F.when(F.col("i") == F.col("j"), F.col("cov"))
-    m = m.withColumn("cov", cov).withColumns({
-        "vi": F.max(on_diagonal).over(W.partitionBy("i")), "vj": F.max(on_diagonal).over(W.partitionBy("j")),
-    })
-    return m.select("i", "j", "n", "cov", F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
+    """(i, j, n, cov, corr) over the complete cases, both orders and the diagonal.
+
+    Products are added up tile by tile; the sums of single series join them by key.
+    """
+    full = write_table(complete_cases(panel).select("ts", "key", "value"), "complete")
+    x = F.col("value")
+    single = write_table(column_sums(full, {"s": x, "ss": x * x}), "sums")
+    variance = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    of = lambda side: single.select(F.col("key").alias(side), F.col("s").alias(f"s{side}"), variance.alias(f"v{side}"), F.col("n").alias(f"n{side}"))
+    m = products(full, numbered(single), [("value", "value")]).join(of("i"), "i").join(of("j"), "j").withColumn("n", F.col("ni"))
+    cov = F.when(F.col("i") == F.col("j"), F.col("vi")).otherwise((F.col("p0") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1))
+    return m.withColumn("cov", cov).select("i", "j", "n", "cov", F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
 
 
 def wide(panel: DataFrame) -> DataFrame:
@@ -154,10 +160,9 @@ def wide(panel: DataFrame) -> DataFrame:
 
 
 def pair_moments(panel: DataFrame) -> DataFrame:
-    """(i, j, n, s_x, s_y, s_xy) of a complete panel over a bounded key dimension.
+    """(i, j, n, s_x, s_y, s_xy) of a complete panel over a bounded key dimension, one Gram matrix per task.
 
-    Each task adds up one Gram matrix over its wide rows, so pairs are emitted once per
-    task and not once per timestamp.
+    For panels of many keys ``dense.products`` works in tiles.
     """
     from flowrisk.functions.linalg import gram_partials
 
