@@ -70,29 +70,77 @@ def ols_from_gram(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return beta, beta / se, dof
 
 
-def propagate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forward stress of a block of scenarios: ``S_t = drive_t + W S_(t-1) + U_t``, forced entries overwritten.
-
-    Each input row holds one system (w, drive, init, shocks) and ``m`` scenarios given by
-    parallel arrays (f_sid, f_key, f_path). Returns the positive-part sum per scenario and entity.
-    """
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            n, m = len(r.init), int(r.m)
-            drive = np.asarray(r.drive, dtype=float).reshape(-1, n)
-            steps = len(drive)
-            w_t = np.asarray(r.w, dtype=float).reshape(n, n).T
-            shocks = np.zeros((steps, n)) if r.shocks is None else np.asarray(r.shocks, dtype=float).reshape(-1, n)
-            sid, key = np.asarray(r.f_sid, dtype=int), np.asarray(r.f_key, dtype=int)
-            path = np.asarray(r.f_path, dtype=float).reshape(len(sid), steps) if len(sid) else None
-            state = np.tile(np.asarray(r.init, dtype=float), (m, 1))
-            loss = np.zeros((m, n))
-            for t in range(steps):
-                state = state @ w_t + drive[t] + shocks[t]
-                if path is not None:
-                    state[sid, key] = path[:, t]
-                loss += np.maximum(state, 0.0)
-            out.append(pd.DataFrame({"model": r.model, "block": r.block, "sid": range(m), "loss": list(loss)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+class System:
+    """Forward stress ``S_t = drive_t + W S_(t-1) + U_t`` of one fitted system, from a row (init, drive, w_dst, w_src, w_val)."""
+
+    #: Scenarios times entities that are worked on at once: half a megabyte, so that steps stay in the cache.
+    WORK = 1 << 16
+
+    def __init__(self, row) -> None:
+        self.init = np.asarray(row.init, float)
+        self.n = len(self.init)
+        self.drive = np.asarray(row.drive, float).reshape(-1, self.n)
+        dst, src, val = np.asarray(row.w_dst, int), np.asarray(row.w_src, int), np.asarray(row.w_val, float)
+        # Where a good part of all pairs are edges, or there are few pairs, a matrix product is faster.
+        self.w = None
+        if self.n * self.n <= max(32 * len(val), 1 << 12):
+            self.w = np.zeros((self.n, self.n))
+            np.add.at(self.w, (dst, src), val)
+            return
+        order = np.argsort(dst, kind="stable")
+        self.dst, first, degree = np.unique(dst[order], return_index=True, return_counts=True)
+        # Targets by falling in-degree: those with a k-th incoming edge are the first ones, so each k is one gather and one sum.
+        falling = np.argsort(-degree, kind="stable")
+        self.dst, first, degree = self.dst[falling], first[falling], degree[falling]
+        self.ranks = []
+        for k in range(int(degree.max(initial=0))):
+            edge = order[first[: int((degree > k).sum())] + k]
+            self.ranks.append((len(edge), src[edge], val[edge][:, None]))
+
+    def _step(self, state: np.ndarray) -> np.ndarray:
+        if self.w is not None:
+            return self.w @ state
+        total, some = np.zeros((len(self.dst), state.shape[1])), np.empty((len(self.dst), state.shape[1]))
+        for count, src, val in self.ranks:
+            part = some[:count]
+            np.take(state, src, axis=0, out=part, mode="clip")
+            part *= val
+            total[:count] += part
+        out = np.zeros_like(state)
+        out[self.dst] = total
+        return out
+
+    def losses(self, m: int, sid, key, level, path, paths, shocks) -> np.ndarray:
+        """Positive-part sums (``m`` scenarios x entities) when entity ``key`` of scenario ``sid`` is held at ``level``, or where
+        ``path`` is not negative on that row of ``paths``. Scenarios are independent, so blocks of them run to the end one by one."""
+        moves = self.drive if shocks is None else self.drive + np.asarray(shocks, float).reshape(self.drive.shape)
+        order = np.argsort(sid, kind="stable")
+        sid, key, level, path = (np.asarray(x)[order] for x in (sid, key, level, path))
+        loss = np.empty((m, self.n))
+        size = max(1, self.WORK // max(1, self.n))
+        for a in range(0, m, size):
+            b = min(m, a + size)
+            own = slice(*np.searchsorted(sid, [a, b]))
+            loss[a:b] = self._losses(b - a, sid[own] - a, key[own], level[own].astype(float), path[own], paths, moves).T
+        return loss
+
+    def _losses(self, m: int, sid, key, forced, path, paths, moves) -> np.ndarray:
+        on = np.flatnonzero(path >= 0)
+        state = np.repeat(self.init[:, None], m, axis=1)
+        loss = np.zeros_like(state)
+        for t, move in enumerate(moves):
+            state = self._step(state)
+            state += move[:, None]
+            if len(on):
+                forced[on] = paths[path[on], t]
+            state[key, sid] = forced
+            loss += np.maximum(state, 0.0)
+        return loss
+
+
+def quantile(x: np.ndarray, q: float) -> np.ndarray:
+    """Linearly interpolated quantile along the first axis."""
+    x = np.sort(x, axis=0)
+    at = (len(x) - 1) * q
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    return x[low] if low == high else (high - at) * x[low] + (at - low) * x[high]

@@ -1,29 +1,32 @@
 """Interventional and counterfactual queries as scenario tables.
 
-A block row holds one fitted system over the event window and the scenarios to run on it:
-
-* ``w`` (entities x entities, row-major), ``drive`` (steps x entities: intercept plus the
-  observed flow terms, which no scenario changes), ``init``, ``shocks`` (or NULL);
-* ``m`` scenarios, whose forced entities are the parallel arrays ``f_sid``, ``f_key``, ``f_path``.
-
-Blocks are independent, so the work spreads over draws, sources or perturbations. All
-arrays are bounded by entities (kept small by the top-k collapse) and window length.
+A system row holds one fitted system over the event window: its entities ``keys``, the non-zero weights (``w_dst``,
+``w_src``, ``w_val``), ``drive`` (steps x entities: intercept plus the observed flow terms, which no scenario changes) and levels.
+Scenarios are not rows: a part row names a range of them (sources, coalitions), and the task builds what they force. A
+task gets the system of a part once, then the shock paths one after the other, so neither system nor forced paths are
+repeated per draw and no scenario's path leaves its task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.functions.draws import hash_index, normal
-from flowrisk.functions.linalg import propagate
+from flowrisk.functions.linalg import System, quantile
 from flowrisk.functions.tails import spearman
 from flowrisk.functions.time import at, between
 from flowrisk.operators.joins import bounded, keys_array
 from flowrisk.operators.structural import dot
 from flowrisk.session import write_table
 
-BLOCK_SCHEMA = "model string, block long, sid int, loss array<double>"
+#: Losses (numbers) that a part may hold until its quantiles are taken.
+HELD = 1 << 22
+_SYSTEM = ["model", "keys", "w_dst", "w_src", "w_val", "drive", "init", "hi", "pre"]
 
 
 def _ordered(value: str, *order: str) -> Column:
@@ -42,66 +45,144 @@ def entity_levels(panel: DataFrame, fit_end: str, event_start: str, q: float = 0
 
 
 def systems(rows: DataFrame, coef: DataFrame, levels: DataFrame) -> DataFrame:
-    """One row per model: (model, keys[], w[], drive[], init[], hi[], pre[]).
+    """One row per model: (model, keys[], w_dst[], w_src[], w_val[], drive[], init[], hi[], pre[]).
 
-    ``rows`` are the design rows of the event window.
+    ``rows`` are the design rows of the event window. Weights are kept where there is an edge; parallel edges add up.
     """
     levels = write_table(levels, "levels")
-    keys = keys_array(levels, "key")
-    c = coef.withColumn("keys", keys)
-    weight_on = lambda k: F.aggregate(  # noqa: E731 - parallel edges add up
-        F.zip_with("parents", "w_stress", lambda p, w: F.when(p == k, w).otherwise(0.0)),
-        F.lit(0.0), lambda acc, v: acc + v,
-    )
-    w_rows = c.select("model", "child", F.transform("keys", weight_on).alias("row"))
-    w = w_rows.groupBy("model").agg(F.flatten(_ordered("row", "child")).alias("w"))
+    lv = levels.agg(*[_ordered(c, "key").alias(c) for c in ("init", "hi", "pre")], F.array_sort(F.collect_list("key")).alias("keys"))
+    lv = write_table(lv, "level-arrays")
+    number = lv.select(F.posexplode("keys").alias("at", "key"))
+    of = lambda side: number.select(F.col("key").alias(side), F.col("at").alias(f"at_{side}"))
+    edges = coef.select("model", "child", F.inline(F.arrays_zip(F.col("parents").alias("parent"), F.col("w_stress").alias("weight"))))
+    edges = edges.join(of("child"), "child").join(of("parent"), "parent").groupBy("model", "at_child", "at_parent").agg(F.sum("weight").alias("weight"))
+    edges = edges.where("weight <> 0").groupBy("model").agg(F.array_sort(F.collect_list(F.struct("at_child", "at_parent", "weight"))).alias("e"))
+    part = lambda c: F.transform("e", lambda x: x[c])
+    w = edges.select("model", part("at_child").alias("w_dst"), part("at_parent").alias("w_src"), part("weight").alias("w_val"))
     k = F.size("parents")
     drive_rows = rows.select("model", "child", "ts", F.slice("xs", k + 1, k).alias("fx")).join(
         bounded(coef.select("model", "child", "b", "w_flow")), ["model", "child"]
     ).select("model", "ts", "child", (F.col("b") + dot(F.col("w_flow"), F.col("fx"))).alias("d"))
     drive = drive_rows.groupBy("model").agg(_ordered("d", "ts", "child").alias("drive"))
-    lv = levels.agg(*[_ordered(c, "key").alias(c) for c in ("init", "hi", "pre")])
-    lv = lv.select(F.struct(*lv.columns).alias("lv")).scalar()
-    return write_table(w.join(drive, "model").select("model", "w", "drive", keys.alias("keys"), lv.alias("lv")).select(
-        "model", "keys", "w", "drive", "lv.*"
-    ), "systems")
+    out = drive.join(w, "model", "left").join(F.broadcast(lv))  # one row
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    out = out.select("model", "keys", none("w_dst", "int"), none("w_src", "int"), none("w_val", "double"), "drive", "init", "hi", "pre")
+    return write_table(out, "systems")
+
+
+def _sparse(systems: DataFrame) -> DataFrame:
+    """``systems`` as they come from there; of rows with a whole matrix ``w`` instead, the non-zero weights."""
+    if "w" not in systems.columns:
+        return systems.select(*_SYSTEM)
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) != 0)
+    n = F.size("init")
+    return systems.withColumn("at", at).withColumns({
+        "w_dst": F.transform("at", lambda i: (i / n).cast("int")), "w_src": F.transform("at", lambda i: i % n),
+        "w_val": F.transform("at", lambda i: F.get("w", i)),
+    }).select(*_SYSTEM)
+
+
+def _parts(systems: DataFrame, items: Column, width: Column) -> DataFrame:
+    """(model, part, first, end): ranges of ``items`` scenarios per model, as many as keep all cores busy, and more where ``width`` numbers per item ask for it."""
+    cores = systems.sparkSession.sparkContext.defaultParallelism
+    per_model = -(-cores // max(1, systems.count()))
+    step = F.greatest(F.lit(1), F.least(F.ceil(items / per_model), F.floor(HELD / width))).cast("int")
+    rows = systems.select("model", items.cast("int").alias("items"), step.alias("step"))
+    rows = rows.where("items > 0").select("model", "items", "step", F.explode(F.sequence(F.lit(0), F.col("items") - 1, F.col("step"))).alias("first"))
+    return rows.select("model", F.col("first").alias("part"), "first", F.least(F.col("first") + F.col("step"), "items").alias("end"))
+
+
+def _run(systems: DataFrame, parts: DataFrame, draws: DataFrame, runner: Callable, schema: str) -> DataFrame:
+    """Rows that ``runner`` gives for every part; ``draws`` has (model, block, shocks).
+
+    A part's system comes first and its shock paths follow one by one, in the order of ``block``.
+    """
+    head = parts.join(systems, "model").withColumn("block", F.lit(-1).cast("long"))
+    shocks = parts.select("model", "part").join(draws.select("model", F.col("block").cast("long").alias("block"), "shocks"), "model")
+    work = head.unionByName(shocks, allowMissingColumns=True)
+    work = work.repartition(2 * systems.sparkSession.sparkContext.defaultParallelism, "model", "part").sortWithinPartitions("model", "part", "block")
 
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.block < 0:
+                    if current is not None:
+                        yield current.finish()
+                    current = runner(r)
+                else:
+                    current.add(r.shocks)
+        if current is not None:
+            yield current.finish()
 
-def run_blocks(blocks: DataFrame) -> DataFrame:
-    """(model, block, sid, loss[]) for every scenario of every block."""
-    cols = ["model", "block", "m", "w", "drive", "init", "shocks", "f_sid", "f_key", "f_path"]
-    return blocks.select(*cols).mapInPandas(propagate, BLOCK_SCHEMA)
+    return work.mapInPandas(streamed, schema)
 
 
-def _spread(blocks: DataFrame, *by: str) -> DataFrame:
-    """Distribute blocks over the cluster; there are few rows, each a good deal of work."""
-    return blocks.repartition(blocks.sparkSession.sparkContext.defaultParallelism, *by)
+class _Levels:
+    """Two scenarios per source: held at 0 and at its high level; per source and target the q-quantile of the losses over all shock paths."""
 
+    def __init__(self, r, q: float) -> None:
+        self.model, self.source, self.q, self.system = r.model, np.arange(int(r.first), int(r.end)), q, System(r)
+        k = len(self.source)
+        self.forced = (np.arange(2 * k), np.repeat(self.source, 2), np.column_stack([np.zeros(k), np.asarray(r.hi)[self.source]]).ravel(), np.full(2 * k, -1))
+        self.runs: list[np.ndarray] = []
 
-def _no_shocks() -> Column:
-    return F.lit(None).cast("array<double>")
+    def add(self, shocks) -> None:
+        self.runs.append(self.system.losses(2 * len(self.source), *self.forced, None, shocks))
 
+    def finish(self) -> pd.DataFrame:
+        out = quantile(np.stack(self.runs), self.q) if self.runs else np.full((2 * len(self.source), self.system.n), np.nan)
+        return pd.DataFrame({"model": self.model, "i": self.source, "low": list(out[::2]), "high": list(out[1::2])})
 
-def _force_levels(n: Column, steps: Column, hi: Column) -> dict[str, Column]:
-    """Two scenarios per source i: 2i holds it at 0, 2i + 1 at its high level."""
-    sid = F.sequence(F.lit(0), 2 * n - 1)
-    key = F.transform(sid, lambda s: (s / 2).cast("int"))
-    path = F.flatten(F.transform(sid, lambda s: F.array_repeat(
-        F.when(s % 2 == 1, F.get(hi, (s / 2).cast("int"))).otherwise(F.lit(0.0)), steps)))
-    return {"m": 2 * n, "f_sid": sid, "f_key": key, "f_path": path}
 
+class _Replays:
+    """Two scenarios per source: on its observed path, and at its earlier level throughout."""
 
-def _explode_targets(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(model, block, source, high, target, loss); ``keys(model, keys[])``."""
-    return (
-        runs.select("model", "block", "sid", F.posexplode("loss").alias("j", "loss"))
-        .join(bounded(keys.select("model", "keys")), "model")
-        .select(
-            "model", "block", F.get("keys", (F.col("sid") / 2).cast("int")).alias("source"),
-            (F.col("sid") % 2 == 1).alias("high"), F.get("keys", F.col("j")).alias("target"), "loss",
-        )
-        .where("source <> target")
-    )
+    def __init__(self, r) -> None:
+        self.model, self.source, self.system = r.model, np.asarray(r.who, int), System(r)
+        k = len(self.source)
+        self.paths = np.stack([np.asarray(p, float) for p in r.paths])
+        level = np.repeat(np.asarray(r.pre, float)[self.source], 2)
+        self.forced = (np.arange(2 * k), np.repeat(self.source, 2), level, np.column_stack([np.arange(k), np.full(k, -1)]).ravel())
+        self.loss = np.zeros((2 * k, self.system.n))
+
+    def add(self, shocks) -> None:
+        self.loss = self.system.losses(len(self.loss), *self.forced, self.paths, shocks)
+
+    def finish(self) -> pd.DataFrame:
+        return pd.DataFrame({"model": self.model, "i": self.source, "low": list(self.loss[1::2]), "high": list(self.loss[::2])})
+
+
+class _Coalitions:
+    """One scenario per set of players: those on their observed paths, all other entities but the target at their earlier level."""
+
+    def __init__(self, r) -> None:
+        self.model, self.target, self.system = r.model, int(r.target), System(r)
+        self.coalition = np.arange(int(r.first), int(r.end))
+        others = np.array([i for i in range(self.system.n) if i != self.target], int)
+        player = {int(i): b for b, i in enumerate(r.who)}
+        bit = np.array([player.get(i, -1) for i in others], int)
+        self.paths = np.stack([np.asarray(p, float) for p in r.paths]) if len(r.paths) else None
+        m = len(self.coalition)
+        path = np.where((bit >= 0) & ((self.coalition[:, None] >> np.maximum(bit, 0)) & 1 == 1), bit, -1)
+        self.forced = (np.repeat(np.arange(m), len(others)), np.tile(others, m), np.tile(np.asarray(r.pre, float)[others], m), path.ravel())
+        self.loss = np.zeros(m)
+
+    def add(self, shocks) -> None:
+        self.loss = self.system.losses(len(self.coalition), *self.forced, self.paths, shocks)[:, self.target]
+
+    def finish(self) -> pd.DataFrame:
+        return pd.DataFrame({"model": self.model, "coalition": self.coalition, "loss": self.loss})
+
+
+_PER_SOURCE = "model string, i int, low array<double>, high array<double>"
+
+
+def _targets(runs: DataFrame, systems: DataFrame) -> DataFrame:
+    """(model, source, target, low, high) of all pairs of different entities."""
+    rows = runs.join(systems.select("model", "keys"), "model")
+    rows = rows.select("model", F.get("keys", F.col("i")).alias("source"), F.inline(F.arrays_zip(F.col("keys").alias("target"), F.col("low"), F.col("high"))))
+    return rows.where("source <> target")
 
 
 def residual_draws(pool: DataFrame, steps: int | Column, draws: int, seed: int, joint: bool = False) -> DataFrame:
@@ -128,19 +209,15 @@ def residual_draws(pool: DataFrame, steps: int | Column, draws: int, seed: int,
 def tail_losses(systems: DataFrame, shocks: DataFrame, q: float = 0.95) -> DataFrame:
     """(model, source, target, tail_hi, tail_lo, delta): q-quantile losses under both force levels.
 
-    Every path is run once and yields the losses of all targets.
+    Every path is run once and yields the losses of all targets; quantiles are taken where the paths of a source were run.
     """
-    n, steps = F.size("init"), (F.size("drive") / F.size("init")).cast("int")
-    blocks = _spread(shocks, "model", "block").join(bounded(systems), "model").withColumns(
-        _force_levels(n, steps, F.col("hi"))
-    )
-    losses = _explode_targets(run_blocks(blocks), systems)
-    at_level = lambda hi: F.percentile(F.when(F.col("high") == hi, F.col("loss")), F.lit(q))
-    return (
-        losses.groupBy("model", "source", "target")
-        .agg(at_level(True).alias("tail_hi"), at_level(False).alias("tail_lo"))
-        .withColumn("delta", F.col("tail_hi") - F.col("tail_lo"))
-    )
+    systems, shocks = _sparse(systems), write_table(shocks, "shocks")
+    draws = shocks.groupBy("model").count().agg(F.max("count")).first()[0] or 1
+    n = F.size("init")
+    parts = _parts(systems, n, 2 * draws * n)
+    runs = _run(systems, parts, shocks, lambda r: _Levels(r, q), _PER_SOURCE)
+    out = _targets(runs, systems).withColumnsRenamed({"high": "tail_hi", "low": "tail_lo"})
+    return out.select("model", "source", "target", "tail_hi", "tail_lo", (F.col("tail_hi") - F.col("tail_lo")).alias("delta"))
 
 
 def exported_risk(deltas: DataFrame) -> DataFrame:
@@ -151,18 +228,8 @@ def exported_risk(deltas: DataFrame) -> DataFrame:
 
 
 def deterministic_deltas(systems: DataFrame) -> DataFrame:
-    """Like ``tail_losses`` with all shocks zero: one block per model."""
-    n, steps = F.size("init"), (F.size("drive") / F.size("init")).cast("int")
-    blocks = _spread(systems, "model").withColumns(
-        {"block": F.lit(0).cast("long"), "shocks": _no_shocks()} | _force_levels(n, steps, F.col("hi"))
-    )
-    losses = _explode_targets(run_blocks(blocks), systems)
-    at_level = lambda hi: F.max(F.when(F.col("high") == hi, F.col("loss")))
-    return (
-        losses.groupBy("model", "source", "target")
-        .agg(at_level(True).alias("tail_hi"), at_level(False).alias("tail_lo"))
-        .withColumn("delta", F.col("tail_hi") - F.col("tail_lo"))
-    )
+    """Like ``tail_losses`` with all shocks zero: one path per model."""
+    return tail_losses(systems, systems.select("model", F.lit(0).alias("block"), F.lit(None).cast("array<double>").alias("shocks")))
 
 
 def observed_window(pred: DataFrame, panel: DataFrame, start: str, end: str, abduction: str = "observed",
@@ -184,67 +251,37 @@ def observed_window(pred: DataFrame, panel: DataFrame, start: str, end: str, abd
 def attribution(systems: DataFrame, paths: DataFrame, shocks: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """(model, source, target, loss_replay, loss_counterfactual, attribution, share).
 
-    Per source one block of two scenarios: its observed path, and its pre-crisis level throughout.
+    Per source two scenarios: its observed path, and its pre-crisis level throughout.
     """
-    steps = (F.size("drive") / F.size("init")).cast("int")
-    src = systems.join(bounded(shocks), "model").select(
-        "*", F.posexplode("keys").alias("i", "source")
-    )
+    systems = _sparse(systems)
+    src = systems.select("model", F.posexplode("keys").alias("i", "key"))
     if sources is not None:
-        src = src.where(F.col("source").isin(sources))
-    src = src.join(bounded(paths.withColumnRenamed("key", "source")), "source")
-    blocks = _spread(src, "model", "source").withColumns({
-        "block": F.col("i").cast("long"),
-        "m": F.lit(2),
-        "f_sid": F.array(F.lit(0), F.lit(1)),
-        "f_key": F.array("i", "i"),
-        "f_path": F.concat("path", F.array_repeat(F.get("pre", F.col("i")), steps)),
-    })
-    runs = run_blocks(blocks).select("model", "block", "sid", F.posexplode("loss").alias("j", "loss"))
-    pair = runs.groupBy("model", "block", "j").agg(
-        F.max(F.when(F.col("sid") == 0, F.col("loss"))).alias("loss_replay"),
-        F.max(F.when(F.col("sid") == 1, F.col("loss"))).alias("loss_counterfactual"),
-    )
-    keys = bounded(systems.select("model", "keys"))
-    diff = F.col("loss_replay") - F.col("loss_counterfactual")
-    return (
-        pair.join(keys, "model")
-        .select(
-            "model", F.get("keys", F.col("block").cast("int")).alias("source"), F.get("keys", F.col("j")).alias("target"),
-            "loss_replay", "loss_counterfactual", diff.alias("attribution"),
-            F.when(F.col("loss_replay") > 1e-9, diff / F.col("loss_replay")).otherwise(0.0).alias("share"),
-        )
-        .where("source <> target")
+        src = src.where(F.col("key").isin(sources))
+    src = src.join(paths, "key")
+    ranges = _parts(systems, F.size("keys"), F.size("drive"))
+    part = ranges.select("model", "part", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("i"))
+    parts = src.join(part, ["model", "i"]).groupBy("model", "part").agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("s"))
+    parts = parts.select("model", "part", F.transform("s", lambda x: x["i"]).alias("who"), F.transform("s", lambda x: x["path"]).alias("paths"))
+    runs = _run(systems, parts, shocks.withColumn("block", F.lit(0)), _Replays, _PER_SOURCE)
+    diff = F.col("high") - F.col("low")
+    return _targets(runs, systems).select(
+        "model", "source", "target", F.col("high").alias("loss_replay"), F.col("low").alias("loss_counterfactual"), diff.alias("attribution"),
+        F.when(F.col("high") > 1e-9, diff / F.col("high")).otherwise(0.0).alias("share"),
     )
 
 
 def coalition_losses(systems: DataFrame, paths: DataFrame, shocks: DataFrame, target: str, players: list[str]) -> DataFrame:
     """(model, coalition, loss): loss of the target with the players in the coalition (a bit set)
     on their observed paths and every other entity but the target at its pre-crisis level."""
-    steps = (F.size("drive") / F.size("init")).cast("int")
-    all_paths = paths.agg(F.map_from_entries(F.collect_list(F.struct("key", "path")))).scalar()
-    base = systems.join(bounded(shocks), "model").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(players) - 1))).alias("coalition")
-    ).withColumn("others", F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get("keys", i) != target))
-    bits = F.create_map(*[x for b, p in enumerate(players) for x in (F.lit(p), F.lit(2**b))])
-
-    def path_of(i: Column) -> Column:
-        name = F.get("keys", i)
-        bit = F.coalesce(F.try_element_at(bits, name), F.lit(0))
-        on = F.col("coalition").bitwiseAND(bit) > 0
-        return F.when(on, F.try_element_at("all_paths", name)).otherwise(F.array_repeat(F.get("pre", i), steps))
-
-    blocks = _spread(base.withColumn("all_paths", all_paths), "coalition").withColumns({
-        "block": F.col("coalition").cast("long"),
-        "m": F.lit(1),
-        "f_sid": F.transform("others", lambda i: F.lit(0)),
-        "f_key": F.col("others"),
-        "f_path": F.flatten(F.transform("others", path_of)),
-    })
-    t = bounded(systems.select("model", (F.array_position("keys", target) - 1).cast("int").alias("t")))
-    return run_blocks(blocks).join(t, "model").select(
-        "model", F.col("block").alias("coalition"), F.get("loss", F.col("t")).alias("loss")
+    systems = _sparse(systems)
+    order = F.array(*map(F.lit, players))
+    known = paths.where(F.col("key").isin(players)).agg(F.map_from_entries(F.collect_list(F.struct("key", "path"))).alias("path_of"))
+    place = lambda name: (F.array_position("keys", name) - 1).cast("int")
+    extra = systems.join(F.broadcast(known)).select(  # one row of the players' paths
+        "model", place(F.lit(target)).alias("target"), F.transform(order, place).alias("who"), F.transform(order, lambda p: F.try_element_at("path_of", p)).alias("paths")
     )
+    parts = _parts(systems, F.lit(2 ** len(players)), F.size("drive")).join(extra, "model")
+    return _run(systems, parts, shocks.withColumn("block", F.lit(0)), _Coalitions, "model string, coalition long, loss double")
 
 
 def shapley(losses: DataFrame, players: list[str]) -> DataFrame:
