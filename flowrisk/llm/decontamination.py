@@ -70,22 +70,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
     windows = windows.select("k1", "k2", F.posexplode("s").alias("doc_at", "seed"))
     hits = windows.join(F.broadcast(seeds) if small else seeds, "seed")
     laid = hits.select("k1", "k2", "item", (F.col("doc_at") - F.col("item_at")).alias("at")).distinct()
-    laid = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "at")).alias("laid"))
+    laid = laid.groupBy("k1", "k2", "item").agg(F.collect_list("at").alias("laid"))
     laid = write_table(laid, "benchmark-hits")
 
+    # One row per text and item, written: the text is hashed once, however many positions there are to verify.
     texts = docs.select(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2"), "text").join(laid, ["k1", "k2"])
-    pairs = texts.select("key", _hashed(F.col("text")).alias("d"), F.explode("laid").alias("l"))
-    pairs = pairs.join(items, F.col("l.item") == items["item"]).select("key", "item", F.col("l.at").alias("at"), "w", "d")
-    agree = F.transform("w", lambda x, i: F.when(x == F.get("d", F.col("at") + i), 1).otherwise(0))
-    pairs = pairs.select("key", "item", "at", F.size("w").alias("item_words"), agree.alias("agree"))
+    pairs = texts.join(items, "item").select("key", "item", "laid", "w", _hashed(F.col("text")).alias("d"), F.size("w").alias("item_words"))
+    pairs = write_table(pairs, "benchmark-pairs")
     wide = F.least(F.lit(STRETCH), F.col("item_words"))
-    best = F.array_max(F.transform(
-        F.sequence(F.lit(0), F.col("item_words") - wide),
-        lambda i: F.aggregate(F.slice("agree", i + 1, wide), F.lit(0), lambda a, x: a + x),
-    ))
-    found = pairs.filter(best * 100 >= wide * MATCHED)
-    matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
-    top = F.max(F.struct(matched.alias("matched"), (-F.col("at")).alias("at"), "item_words"))
+
+    def verified(at: Column) -> Column:
+        agree = F.transform("w", lambda x, i: F.when(x == F.get("d", at + i), 1).otherwise(0))
+        total = F.aggregate(agree, F.lit(0), lambda a, x: a + x)
+        return F.struct(total.alias("matched"), (-at).alias("at"), agree.alias("agree"))
+
+    def enough(v: Column) -> Column:
+        best = F.array_max(F.transform(
+            F.sequence(F.lit(0), F.col("item_words") - wide),
+            lambda i: F.aggregate(F.slice(v["agree"], i + 1, wide), F.lit(0), lambda a, x: a + x),
+        ))
+        return (v["matched"] * 100 >= wide * MATCHED) & (best * 100 >= wide * MATCHED)
+
+    good = F.transform(F.filter(F.transform("laid", verified), enough), lambda v: F.struct(v["matched"].alias("matched"), v["at"].alias("at")))
+    found = pairs.select("key", "item", "item_words", F.array_max(good).alias("top")).filter("top is not null")
+    top = F.max(F.struct("top.matched", "top.at", "item_words"))
     return found.groupBy("key", "item").agg(top.alias("t")).select(
         F.col("key").alias(key), F.col("item").alias(item), (-F.col("t.at")).alias("at"), "t.matched", "t.item_words"
     )

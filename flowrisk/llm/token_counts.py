@@ -61,8 +61,9 @@ class Rollup:
     """Additive totals in a folder with one partition of deltas per committed batch.
 
     ``commit`` adds a batch's signed changes up and replaces the partition of its id as a
-    whole, so a batch that is delivered or retried again counts once, and one that failed
-    half-way counts not at all. ``totals`` adds the deltas up: batches commute. Null sources, languages and versions
+    whole, so a batch that is delivered or retried again counts once, also if it now has other rows or none. A commit that failed
+    before its files were moved in place counts not at all; one that was cut off while they were moved has to be
+    delivered again. ``totals`` adds the deltas up: batches commute. Null sources, languages and versions
     are keys of their own; a key whose documents have all gone has no row; an empty batch
     changes nothing. Deltas are summed on the map side, so a hot source costs one row per task.
     """
@@ -72,7 +73,9 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> None:
         delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        writer = delta.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        # A row of zeros keeps the partition in the data, as only partitions that occur are replaced.
+        nothing = self.spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"))
+        writer = delta.unionByName(nothing).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
 
     def deltas(self) -> DataFrame:

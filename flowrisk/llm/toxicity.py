@@ -97,9 +97,10 @@ def scores(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns ``keep`` (``text`` may be one) with ``score``, ``predicted`` (score of at least a half) and ``n_hits``.
 
     Every whole ``text`` is read; null and empty texts have no hits and get the score of such texts.
-    Repeated rows and null keys are scored like any other row.
+    Repeated rows and null keys are scored like any other row. Columns of these three names are replaced.
     """
 
+    keep = [c for c in keep if c.lower() not in ("score", "predicted", "n_hits")]
     columns = keep if "text" in keep else [*keep, "text"]
     at = columns.index("text")
 
