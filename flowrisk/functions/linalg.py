@@ -144,3 +144,54 @@ def quantile(x: np.ndarray, q: float) -> np.ndarray:
     at = (len(x) - 1) * q
     low, high = int(np.floor(at)), int(np.ceil(at))
     return x[low] if low == high else (high - at) * x[low] + (at - low) * x[high]
+
+
+def _steepest(x: np.ndarray, y: np.ndarray, p: int, q: float) -> tuple[float, float] | None:
+    """The best line through point ``p``: its slope is a weighted quantile of the slopes to all other points. None if no point has another ``x``."""
+    dx = x - x[p]
+    other = np.flatnonzero(dx)
+    if not len(other):
+        return None
+    dx = dx[other]
+    slope, weight = (y[other] - y[p]) / dx, np.abs(dx)
+    order = np.argsort(slope, kind="stable")
+    run = np.cumsum(weight[order])
+    goal = (np.where(dx > 0, q, 1 - q) * weight).sum()
+    b = float(slope[order[min(int(np.searchsorted(run, goal)), len(run) - 1)]])
+    return float(y[p] - b * x[p]), b
+
+
+def pinball_line(x: np.ndarray, y: np.ndarray, q: float) -> tuple[float, float]:
+    """Intercept and slope of the line of least pinball loss; flat at the quantile if all ``x`` are equal.
+
+    An optimum goes through a point, and the best line through a point is found exactly. The walk moves to points on that line while
+    the loss falls. Where more than two points lie on the line, each of them is tried before it ends, so ties neither stop it early nor send it round.
+    """
+    scale = float(np.abs(y).max(initial=0.0)) or 1.0
+    start = int(np.argmin(np.abs(y - quantile(y, q))))
+    best, line, todo, seen = np.inf, (float(y[start]), 0.0), [start], set()
+    while todo:
+        p = todo.pop()
+        if (x[p], y[p]) in seen:
+            continue
+        seen.add((x[p], y[p]))
+        found = _steepest(x, y, p, q)
+        if found is None:
+            return float(quantile(y, q)), 0.0
+        rest = y - found[0] - found[1] * x
+        loss = float(np.where(rest >= 0, q * rest, (q - 1) * rest).sum())
+        if loss < best * (1 - 1e-14):
+            best, line, seen = loss, found, {(x[p], y[p])}
+            todo = [int(i) for i in np.flatnonzero(np.abs(rest) <= 1e-13 * (scale + abs(found[1]) * np.abs(x).max())) if i != p]
+    return line
+
+
+def pinball_lines(q: float):
+    """A map over the groups of one key."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        a, b = pinball_line(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), q)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "a": [a], "b": [b]})
+
+    return fit

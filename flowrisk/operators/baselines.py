@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowrisk.functions.linalg import pinball_lines
 from flowrisk.functions.tails import t_two_sided
 from flowrisk.operators.dense import column_sums, entries, numbered, products, pseudo_inverse, tiles
 from flowrisk.operators.joins import bounded
 from flowrisk.operators.series import complete_cases, covariance
 from flowrisk.session import write_table
-from flowrisk.sources.registry import literal_relation
 
 
 def with_system(returns: DataFrame, system: str | None = None) -> DataFrame:
@@ -36,57 +36,13 @@ def tail_mean(returns: DataFrame, q: float = 0.05) -> DataFrame:
 
 
 def quantile_regression(data: DataFrame, q: float) -> DataFrame:
-    """(key, a, b): the line minimising the pinball loss of ``y`` on ``x``, for all keys at once.
-
-    Walks along edges of the linear programme. Of all lines through a pivot point the best
-    slope is a weighted quantile of the slopes to the other points, found by a running
-    weight per key; its point is the next pivot. When two points select each other the line is
-    optimal. A pair that comes back without being mutual would be a cycle on ties, which is an
-    error; no unfinished line is returned. Only the pivots (one row per key) pass through the driver. ``data`` is read every
-    round and should be a stage.
+    """(key, a, b): the line minimising the pinball loss of ``y`` on ``x``, for every key of ``data(key, ts, x, y)``.
+
+    One job: a key's points, two numbers per time step, are fitted in the task that gets them, and keys spread over tasks.
+    Points that tie are tried one by one, so the walk always ends at an optimum; rows with a null are left out.
     """
-    spark = data.sparkSession
-    d = data.select("key", "ts", "x", "y")
-    target = d.groupBy("key").agg(F.percentile("y", F.lit(q)).alias("yq"))
-    start = (
-        d.join(bounded(target), "key")
-        .groupBy("key")
-        .agg(F.min_by(F.struct("ts", "x", "y"), F.struct(F.abs(F.col("y") - F.col("yq")), "ts")).alias("p"))
-    )
-    pivots = {r["key"]: (r["p"]["ts"], r["p"]["x"], r["p"]["y"], None) for r in start.collect()}
-    lines: dict[str, tuple[float, float]] = {}
-    tried: set[tuple] = set()
-    while open_pivots := {k: p for k, p in pivots.items() if k not in lines}:
-        table = literal_relation(
-            spark, [(k, p[0], p[1], p[2]) for k, p in open_pivots.items()],
-            "key string, pts timestamp_ntz, px double, py double",
-        )
-        dx = F.col("x") - F.col("px")
-        slopes = d.join(bounded(table), "key").where("x <> px").select(
-            "key", "ts", "x", "y", ((F.col("y") - F.col("py")) / dx).alias("s"), F.abs(dx).alias("wt"),
-            F.when(dx > 0, F.lit(q)).otherwise(1 - q).alias("share"),
-        )
-        goal = F.sum(F.col("share") * F.col("wt")).over(W.partitionBy("key"))
-        run = F.sum("wt").over(W.partitionBy("key").orderBy("s", "ts").rowsBetween(W.unboundedPreceding, 0))
-        best = (
-            slopes.withColumns({"goal": goal, "run": run})
-            .where(F.col("run") >= F.col("goal"))
-            .groupBy("key")
-            .agg(F.min_by(F.struct("ts", "x", "y", "s"), F.struct("s", "ts")).alias("p"))
-        )
-        found = {r["key"]: r["p"] for r in best.collect()}
-        for k, (ts, x, y, came_from) in open_pivots.items():
-            p = found.get(k)
-            if p is None:  # all x equal: flat line at the quantile
-                lines[k] = (y, 0.0)
-            elif p["ts"] == came_from:
-                lines[k] = (y - p["s"] * x, p["s"])
-            elif (k, ts, p["ts"]) in tried:
-                raise RuntimeError(f"quantile regression of {k} cycles on tied points")
-            else:
-                tried.add((k, ts, p["ts"]))
-                pivots[k] = (p["ts"], p["x"], p["y"], ts)
-    return literal_relation(spark, [(k, a, b) for k, (a, b) in lines.items()], "key string, a double, b double")
+    points = data.where("x is not null and y is not null").select("key", "ts", "x", "y")
+    return points.groupBy("key").applyInPandas(pinball_lines(q), "key string, a double, b double")
 
 
 def delta_covar(returns: DataFrame, system: str | None = None, q: float = 0.05) -> DataFrame:

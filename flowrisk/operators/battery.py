@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ def paired_bootstrap(pred: DataFrame, a: str, b: str, resamples: int, seed: int,
 
     Positions are numbered over entities and times of the event window. Resample r draws
     position k from a hash of (seed, r, k div block); ``block`` > 1 keeps runs of
-    neighbouring observations together.
+    neighbouring observations together. The differences, one number per entity and step of the window, are one list.
     """
     w = F.abs("y") + 0.1
     err = w * F.pow(F.col("yhat") - F.col("y"), 2)
@@ -54,13 +54,18 @@ def paired_bootstrap(pred: DataFrame, a: str, b: str, resamples: int, seed: int,
             (F.col("before") + F.row_number().over(W.partitionBy("child").orderBy("ts")) - 1).alias("pos"), "d"
         )
     )
-    n = d.agg(F.count("*")).scalar()
-    draws = d.select(F.col("pos").alias("k")).select(
-        "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")
-    )
-    start = hash_index(n, seed, F.col("r"), F.floor(F.col("k") / block))
-    drawn = draws.select("r", F.pmod(start + F.col("k") % block, n).alias("pos"))
-    means = drawn.join(d, "pos").groupBy("r").agg(F.avg("d").alias("m"))
+    # A resample is a row that looks its draws up in the list of all differences; nothing but its mean leaves the task.
+    spark = pred.sparkSession
+    listed = write_table(d.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]).alias("ds")), "differences")
+    rows = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).select(F.col("id").alias("r")).join(F.broadcast(listed))
+    n = F.size("ds").cast("long")
+
+    def drawn(k: Column) -> Column:
+        start = hash_index(n, seed, F.col("r"), F.floor(k / block))
+        return F.get("ds", F.pmod(start + k % block, n).cast("int"))
+
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda a, k: a + drawn(k))
+    means = rows.where(n > 0).select("r", (total / n).alias("m"))
     return means.agg(
         F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"),
         F.avg((F.col("m") > 0).cast("double")).alias("prob_better"), F.count("*").alias("resamples"),

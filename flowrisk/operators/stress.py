@@ -12,6 +12,7 @@ from flowrisk.functions.draws import normal
 from flowrisk.operators.joins import bounded
 from flowrisk.operators.resolve import RESIDUAL, endpoints
 from flowrisk.operators.series import dense, drawdown, fill_forward, grid, on_grid, rolling, rolling_mean, zscore
+from flowrisk.session import write_table
 
 
 @dataclass(frozen=True)
@@ -167,16 +168,39 @@ def nonflow_sources(entities: DataFrame, known: DataFrame, default_kind: str, de
 
 
 AR_DECAY = 0.7
-#: Buckets of a block; blocks are scanned apart and linked by their last values.
+#: Steps of a block of the scan.
 AR_BLOCK = 128
 
 
+def affine_scan(steps: DataFrame, size: int) -> DataFrame:
+    """(pos, x) of ``x_pos = a * x_(pos - 1) + b`` from zero, for ``steps(pos, a, b)`` numbered without gaps.
+
+    Steps compose: a block of them is one step again. Blocks are scanned apart, their totals by the same scan one level up, and
+    what comes in from earlier blocks is added; each level has a block's size fewer rows, so no task sees more than a block.
+    """
+    blocked = steps.withColumn("block", F.floor(F.col("pos") / AR_BLOCK))
+    w = W.partitionBy("block").orderBy("pos")
+    so_far = F.collect_list(F.struct("a", "b")).over(w.rowsBetween(W.unboundedPreceding, 0))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    total = F.aggregate(so_far, start, lambda acc, s: F.struct((acc["a"] * s["a"]).alias("a"), (acc["b"] * s["a"] + s["b"]).alias("b")))
+    own = blocked.select("pos", "block", total.alias("t"))
+    if size <= AR_BLOCK:
+        # At most two blocks, as numbers may start anywhere in the first.
+        ends = own.groupBy("block").agg(F.max_by("t", "pos").alias("t"))
+        carry = ends.select((F.col("block") + 1).alias("block"), F.col("t.b").alias("carry"))
+    else:
+        own = write_table(own, "scanned")
+        ends = own.groupBy("block").agg(F.max_by("t", "pos").alias("t")).select(F.col("block").alias("pos"), "t.a", "t.b")
+        above = affine_scan(ends, -(-size // AR_BLOCK) + 1)
+        carry = above.select((F.col("pos") + 1).alias("block"), F.col("x").alias("carry"))
+    joined = own.join(carry, "block", "left")
+    return joined.select("pos", (F.col("t.b") + F.col("t.a") * F.coalesce("carry", F.lit(0.0))).alias("x"))
+
+
 def latent_shock(panel: DataFrame, seed: int) -> DataFrame:
     """(ts, shock): a standardised AR(1) path on the calendar of the panel.
 
-    Buckets are numbered within their year and by the totals of earlier years. Each block of positions
-    is scanned from zero; the value at the end of the block before it decays through the block. Only
-    the fold over the ends of blocks, one row each, sees the whole calendar.
+    Buckets are numbered within their year and by the totals of earlier years; the recursion is an ``affine_scan``.
     """
     cal = panel.select("ts").distinct().withColumn("yr", F.year("ts"))
     years = cal.groupBy("yr").agg(F.count("*").alias("n"))
@@ -184,19 +208,9 @@ def latent_shock(panel: DataFrame, seed: int) -> DataFrame:
     offsets = years.select("yr", F.coalesce(before, F.lit(0)).alias("before"))
     local = F.row_number().over(W.partitionBy("yr").orderBy("ts"))
     numbered = cal.withColumn("local", local).join(offsets, "yr").withColumn("pos", F.col("before") + F.col("local"))
-    eps = numbered.select(
-        "ts", "pos", F.floor((F.col("pos") - 1) / AR_BLOCK).alias("block"), normal("latent", seed, F.col("pos")).alias("eps")
-    )
-    block = W.partitionBy("block").orderBy("pos")
-    so_far = F.collect_list("eps").over(block.rowsBetween(W.unboundedPreceding, 0))
-    own = eps.withColumns({
-        "own": F.aggregate(so_far, F.lit(0.0), lambda a, e: F.lit(AR_DECAY) * a + e), "age": F.row_number().over(block),
-    })
-    ends = own.groupBy("block").agg(F.max_by("own", "pos").alias("own"), F.count("*").alias("n"))
-    earlier = F.collect_list(F.struct("own", "n")).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    carry = F.aggregate(earlier, F.lit(0.0), lambda a, e: a * F.pow(F.lit(AR_DECAY), e["n"]) + e["own"])
-    x = own.join(ends.select("block", carry.alias("carry")), "block")
-    x = x.select("ts", (F.col("own") + F.col("carry") * F.pow(F.lit(AR_DECAY), F.col("age"))).alias("x"))
+    eps = numbered.select("ts", "pos", F.lit(AR_DECAY).alias("a"), normal("latent", seed, F.col("pos")).alias("b"))
+    eps = write_table(eps, "innovations")
+    x = affine_scan(eps.select("pos", "a", "b"), eps.count()).join(eps.select("ts", "pos"), "pos").select("ts", "x")
     m = x.agg(F.struct(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))).scalar()
     return x.select("ts", ((F.col("x") - m["mean"]) / m["sd"]).alias("shock"))
 
