@@ -11,7 +11,7 @@ from flowrisk.operators import baselines as B
 from flowrisk.operators import graph as G
 from flowrisk.operators import series as S
 from flowrisk.plans.inputs import Inputs
-from flowrisk.plans.oracle import CTES, compose
+from flowrisk.plans.oracle import CTES, complete, compose
 from flowrisk.plans.queries import query
 
 CTES["sys"] = """
@@ -47,9 +47,40 @@ def _delta_covar(i: Inputs) -> DataFrame:
     return rounded(B.delta_covar(i.returns(), q=0.05))
 
 
-@query("delta_covar_hourly")
+# Over hours the pairs are too many. The loss of the best line of a given slope is convex in the slope, so the slope is closed in on.
+CTES["hour_complete"] = complete("hour_returns")
+CTES["hour_sys"] = """
+SELECT r.ts, r.key, r.value, (t.total - r.value) / (t.n - 1) AS sys
+FROM hour_complete r JOIN (SELECT ts, sum(value) AS total, count(*) AS n FROM hour_complete GROUP BY ts) t ON r.ts = t.ts"""
+
+
+def slope_sql(points: str, q: float, reach: float = 100.0, rounds: int = 110) -> str:
+    """(key, a, b) of least pinball loss of ``sys`` on ``value``, by thirds of the slopes within ``reach``."""
+    rest = lambda b: f"list_sort(list_transform(y, lambda v, i: v - ({b}) * x[i]))"
+    loss = lambda r, a: f"list_sum(list_transform({r}, lambda v: CASE WHEN v >= {a} THEN {q}e0 * (v - {a}) ELSE {q - 1}e0 * (v - {a}) END))"
+    at = f"ceil({q}e0 * len(y))::INT"
+    return f"""
+WITH RECURSIVE s(key, x, y, lo, hi, k) AS (
+  SELECT key, list(value ORDER BY ts), list(sys ORDER BY ts), -{reach}e0, {reach}e0, 0 FROM {points} GROUP BY key
+  UNION ALL
+  SELECT key, x, y, CASE WHEN f1 > f2 THEN m1 ELSE lo END, CASE WHEN f1 > f2 THEN hi ELSE m2 END, k + 1 FROM (
+    SELECT *, {loss('r1', 'a1')} AS f1, {loss('r2', 'a2')} AS f2 FROM (
+      SELECT *, r1[{at}] AS a1, r2[{at}] AS a2 FROM (
+        SELECT *, {rest('m1')} AS r1, {rest('m2')} AS r2 FROM (
+          SELECT *, lo + (hi - lo) / 3 AS m1, hi - (hi - lo) / 3 AS m2 FROM s WHERE k < {rounds})))))
+SELECT key, b, ({rest('b')})[{at}] AS a FROM (SELECT *, (lo + hi) / 2 AS b FROM s WHERE k = {rounds})"""
+
+
+CTES["hour_qr"] = slope_sql("hour_sys", 0.05)
+CTES["hour_dcv"] = """
+SELECT v.key AS asset, v.q05 AS var_q, a + b * v.q05 AS covar_q, b * (v.q05 - v.q50) AS delta_covar
+FROM (SELECT key, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.5) AS q50 FROM hour_sys GROUP BY key) v JOIN hour_qr qr ON qr.key = v.key"""
+
+
+@query("delta_covar_hourly", compose("""
+SELECT asset, round(var_q, 6) AS var_q, round(covar_q, 6) AS covar_q, round(delta_covar, 6) AS delta_covar,
+  rank() OVER (ORDER BY delta_covar) AS rank FROM hour_dcv"""))
 def _delta_covar_hourly(i: Inputs) -> DataFrame:
-    """No SQL: the brute force over all point pairs grows with the cube of the hours."""
     return rounded(B.delta_covar(S.log_returns(S.price_panel(i.quotes())), q=0.05))
 
 
