@@ -65,7 +65,7 @@ def scaled_transfers(transfers: DataFrame, tokens: DataFrame, start: str | None
     scale = tokens.select("token_addr", "sym", F.pow(F.lit(10.0), F.col("dec")).alias("scale"))
     return (
         transfers.where(between(F.col("block_time"), start, end))
-        .join(F.broadcast(scale), "token_addr")
+        .join(scale, "token_addr")  # broadcast if its size is known to be small
         .withColumn("amount", F.col("value").cast("double") / F.col("scale"))
     )
 

@@ -86,7 +86,10 @@ def classifier(i: Inputs) -> tuple[DataFrame, DataFrame]:
 
     def part(k: int) -> DataFrame:
         if not trained:
-            trained.extend(A.train_classifier(nodes(i)))
+            found = A.train_classifier(nodes(i))
+            if found is None:
+                raise ValueError("too few addresses with or without a label to train on")
+            trained.extend(found)
         return trained[k]
 
     return i._stage("classifier-scores", lambda: part(0)), i._stage("classifier-importance", lambda: part(1))
@@ -129,21 +132,8 @@ def _clusters(i: Inputs) -> DataFrame:
     return clusters(i).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-def label_homogeneity(i: Inputs) -> DataFrame:
-    classes = nodes(i).where("is_labelled = 1").select("addr", F.col("label").alias("class"))
-    return A.homogeneity(clusters(i).join(classes, "addr"))
-
-
 @query("resolution_report")
 def _report(i: Inputs) -> DataFrame:
     """Node and label counts with the classifier's and the clustering's quality, one row."""
-    counts = nodes(i).agg(
-        F.count("*").alias("n_addresses"), F.sum("is_labelled").alias("n_labelled"),
-        F.count_distinct("label").alias("n_distinct_labels"), F.avg("is_labelled").alias("base_rate"),
-    )
     scores, _importance = classifier(i)
-    report = A.classification_report(scores)
-    cols = F.struct(*report.columns)
-    return rounded(counts.select("*", report.select(cols).scalar().alias("r"), label_homogeneity(i).select("homogeneity").scalar().alias("cluster_homogeneity")).select(
-        "n_addresses", "n_labelled", "n_distinct_labels", "base_rate", "r.auc", "r.avg_precision", "r.best_f1", "r.precision", "r.recall",
-        "r.vol_precision", "r.vol_recall", "cluster_homogeneity"))
+    return rounded(A.resolution_report(nodes(i), scores, clusters(i)))

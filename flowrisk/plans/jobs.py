@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions.tails import spearman
 from flowrisk.functions.time import at, between
+from flowrisk.operators import address as A
 from flowrisk.operators import backtest as V
 from flowrisk.operators import baselines as B
 from flowrisk.operators import battery as Y
@@ -376,6 +377,13 @@ def events(rel: Relations, runs: dict[str, Settings], min_pre: int = 4) -> DataF
     return out
 
 
+def resolution(rel: Relations, symbol: str, start: str | None = None, end: str | None = None, **options) -> dict[str, DataFrame]:
+    """Address resolution on the transfers of one token: report, held-out scores, feature importances, clusters (``address.resolution``)."""
+    tokens = rel.tokens.where(F.col("sym") == symbol)
+    edges = A.address_edges(rel.transfers, tokens, start, end)
+    return A.resolution(edges, write_table(R.dedupe_labels(rel.labels), "labels"), **options)
+
+
 def save_all(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     for name, df in tables.items():
         save_result(df, f"{path}/{name}", fmt)
