@@ -134,11 +134,7 @@ def _first_books(kept: DataFrame, how: Settings) -> np.ndarray:
 
 
 def integers(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
-    """vec_id, label and ``x``, the integer components of the usable rows, written once.
-
-    Null vectors and those with null or non-finite components are left out. All others must have the same number of components,
-    a positive multiple of ``how.parts``, small enough that no squared distance leaves 64 bits; anything else is an error.
-    """
+    """vec_id, label and ``x``, the integer components of the rows whose vector is not null and has no null or non-finite component; written."""
     parts = F.col("embedding")
     finite = F.forall(parts, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     kept = vectors.filter(F.coalesce(finite, F.lit(False))).select(
@@ -147,20 +143,15 @@ def integers(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
     return write_table(kept, "vector-integers")
 
 
-def _check(kept: DataFrame, how: Settings) -> bool:
-    """Whether there is anything to code; raises on unequal or unfit sizes and on components too large for 64-bit distances."""
-    size, bound = F.size("x"), F.array_max(F.transform("x", lambda v: F.abs(v)))
-    r = kept.agg(F.min(size), F.max(size), F.max(bound)).first()
-    if r[0] is None:
-        return False
-    if r[0] != r[1] or r[0] < how.parts or r[0] % how.parts:
-        raise ValueError(f"vectors need one common size, a multiple of {how.parts}; found sizes from {r[0]} to {r[1]}")
-    if 4 * r[2] * r[2] * r[0] >= 1 << 63:
+def _common_size(kept: DataFrame, how: Settings) -> int:
+    """The size that most vectors have (the larger one on ties), 0 if it cannot be cut into parts; raises if squared distances could leave 64 bits."""
+    sizes = kept.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("reach"))
+    r = sizes.orderBy(F.desc("n"), F.desc("size")).first()
+    if r is None or r["size"] % how.parts or not r["size"]:
+        return 0
+    if 4 * r["reach"] * r["reach"] * r["size"] >= 1 << 63:
         raise ValueError("components are too large for squared distances of 64 bits")
-    return True
-
-
-OUTPUT = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
+    return r["size"]
 
 
 def compressed(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
@@ -172,15 +163,16 @@ def compressed(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
     the sum of errors over rows of equal label (nulls together), and the last column the digest of all final entries.
 
     A block of ``BLOCK`` vectors keeps its distinct integers per dimension and codes into them, written once; every round tabulates,
-    gathers and adds. Only codebooks pass through the driver. Repeated rows each get a row; usable rows are those of ``integers``, whose errors apply;
-    an empty table gives an empty result. Only vec_id, embedding and label are read, so other columns cannot clash.
+    gathers and adds. Only codebooks pass through the driver. Repeated rows each get a row. Rows whose vector is null or has a null or non-finite component
+    are left out. Vectors of another size than most have, and all if that size is no multiple of ``how.parts``, keep their row with null code and error.
+    Components so large that a squared distance could leave 64 bits are an error; an empty table gives an empty result. Only vec_id, embedding and label are read, so other columns cannot clash.
     """
-    kept = integers(vectors, how)
-    if not _check(kept, how):
-        return vectors.sparkSession.createDataFrame([], OUTPUT)
-    books = _first_books(kept, how)
+    whole = integers(vectors, how)
+    size = _common_size(whole, how)
+    kept, others = whole.filter(F.size("x") == (size or -1)), whole.filter(F.size("x") != (size or -1))
+    books = _first_books(kept, how) if size else np.zeros((how.parts, 0, 0), np.int64)
     blocks = write_table(_blocks(kept), "vector-blocks")
-    for _ in range(how.rounds):
+    for _ in range(how.rounds if size else 0):
         books = _means(blocks, books)
     digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
     label = kept.schema["label"].dataType
@@ -197,7 +189,8 @@ def compressed(vectors: DataFrame, how: Settings = DEFAULT) -> DataFrame:
                 ids, labels = one.column(0).flatten(), one.column(1).flatten()
                 yield pa.RecordBatch.from_arrays([ids, labels, pa.array(code, pa.string()), pa.array(distance.sum(axis=0))], names=["vec_id", "label", "code", "error"])
 
-    out = write_table(blocks.mapInArrow(coded, schema), "vector-codes")
+    plain = others.select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    out = write_table(blocks.mapInArrow(coded, schema).unionByName(plain), "vector-codes")
     sums = write_table(out.groupBy("label").agg(F.sum("error").alias("label_error")), "label-errors").withColumnRenamed("label", "of")
     joined = out.join(sums, F.col("label").eqNullSafe(F.col("of")))
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

@@ -195,11 +195,17 @@ def test_codes(spark, monkeypatch, n, entries, scale):
 
 def test_codes_edges(spark):
     schema = "vec_id long, embedding array<float>, label string"
-    empty = spark.createDataFrame([(1, None, "a")], schema)
-    assert vector_codes.compressed(empty).count() == 0 and vector_codes.compressed(empty.limit(0)).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
-    for bad in ([[0.0] * 6], [[0.0] * 4, [0.0] * 8], [[1e9] * 4]):
-        with pytest.raises(ValueError):
-            vector_codes.compressed(spark.createDataFrame([(i, v, None) for i, v in enumerate(bad)], schema))
+    columns = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    nothing = spark.createDataFrame([(1, None, "a")], schema)
+    assert vector_codes.compressed(nothing).count() == 0 and vector_codes.compressed(nothing.limit(0)).columns == columns
+    empty = hashlib.sha256(b"").hexdigest()
+    uneven = spark.createDataFrame([(1, [0.0] * 6, "a"), (2, [], "a")], schema)
+    assert sorted(tuple(r) for r in vector_codes.compressed(uneven).collect()) == [(1, None, None, None, empty), (2, None, None, None, empty)]
+    mixed = spark.createDataFrame([(1, [0.0] * 4, "a"), (2, [1.0] * 4, None), (3, [1.0] * 8, "a"), (4, [], None)], schema)
+    got = {r.vec_id: (r.code, r.error, r.label_error) for r in vector_codes.compressed(mixed).collect()}
+    assert got == {1: ("00000000", 0, 0), 2: ("01010101", 0, 0), 3: (None, None, 0), 4: (None, None, 0)}
+    with pytest.raises(ValueError):
+        vector_codes.compressed(spark.createDataFrame([(1, [1e9] * 4, None)], schema))
 
 
 def test_table_distances_equal_direct_ones():
