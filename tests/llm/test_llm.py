@@ -197,10 +197,34 @@ def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 49408, n), np.zeros(n, int), rng.integers(0, 3, n), np.full(n, 65535), rng.integers(0, 1 << 22, n)):
         bits = coder.id_bits(ids.max())
-        payloads = coder.encode_blocks(ids, bits)
+        prior = coder.Prior.of(ids)
+        payloads = coder.encode_blocks(ids, bits, prior)
         lengths = np.array([min(coder.BLOCK, n - a) for a in range(0, n, coder.BLOCK)])
-        assert (np.concatenate(coder.decode_blocks(payloads, lengths, bits)) == ids).all()
-    assert sum(map(len, coder.encode_blocks(np.zeros(n, int), 16))) < 60 + n // 20
+        assert (np.concatenate(coder.decode_blocks(payloads, lengths, bits, prior)) == ids).all()
+    assert sum(map(len, coder.encode_blocks(np.zeros(n, int), 16, coder.Prior.of(np.zeros(n, int))))) < 60 + n // 20
+
+
+def test_coder_escapes_rare_ids(monkeypatch):
+    monkeypatch.setattr(coder, "MOST", 10)
+    ids = np.random.default_rng(3).geometric(0.05, 5000) * 977
+    prior = coder.Prior.of(ids)
+    assert len(coder.Prior(prior).own) == 11
+    for bits in (coder.id_bits(ids.max()), 30):
+        payloads = coder.encode_blocks(ids, bits, prior)
+        lengths = np.array([coder.BLOCK, coder.BLOCK, 5000 - 2 * coder.BLOCK])
+        assert (np.concatenate(coder.decode_blocks(payloads, lengths, bits, prior)) == ids).all()
+
+
+def test_coder_beats_the_entropy_of_single_ids():
+    """Texts of words of two ids each: the second id follows from the first, so few bits are left for it."""
+    rng = np.random.default_rng(5)
+    first = rng.zipf(1.4, 60_000) % 400
+    ids = np.stack([first, 1000 + first % 40], axis=1).ravel()
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    prior = coder.Prior.of(ids)
+    size = len(prior) + sum(map(len, coder.encode_blocks(ids, coder.id_bits(ids.max()), prior)))
+    assert 8 * size / len(ids) < 0.85 * entropy
 
 
 def test_crc_joins():
