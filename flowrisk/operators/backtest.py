@@ -7,15 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.tails import chi2_tail_1, chi2_tail_2
+from flowrisk.operators.slices import SLICED, own, sliced
 
 EPS = 1e-12
 
 
 def rolling_var(returns: DataFrame, window: int = 100, q: float = 0.05) -> DataFrame:
     """(ts, key, value, var): q-quantile of the preceding ``window`` returns; NULL before that many."""
-    w = W.partitionBy("key").orderBy("ts").rowsBetween(-window, -1)
+    w = W.partitionBy(*SLICED).orderBy("ts").rowsBetween(-window, -1)
     var = F.when(F.count("value").over(w) == window, F.percentile("value", F.lit(q)).over(w))
-    return returns.select("ts", "key", "value", var.alias("var"))
+    return own(sliced(returns.select("ts", "key", "value"), window).withColumn("var", var)).select("ts", "key", "value", "var")
 
 
 def violations(var: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def _ll(count: Column, p: Column) -> Column:
 
 def coverage_tests(hits: DataFrame, q: float = 0.05) -> DataFrame:
     """Per key: failure rate, likelihood ratios of coverage, independence and both, with p values."""
-    w = W.partitionBy("key").orderBy("ts")
-    h = hits.withColumn("prev", F.lag("hit").over(w))
+    w = W.partitionBy(*SLICED).orderBy("ts")
+    h = own(sliced(hits, 1).withColumn("prev", F.lag("hit").over(w)))
 
     def trans(a: int, b: int) -> Column:
         return F.count_if((F.col("prev") == a) & (F.col("hit") == b)).cast("double")

@@ -11,6 +11,7 @@ from flowrisk.functions.tails import t_two_sided
 from flowrisk.operators.dense import column_sums, entries, numbered, products, pseudo_inverse, tiles
 from flowrisk.operators.joins import bounded
 from flowrisk.operators.series import complete_cases, covariance
+from flowrisk.operators.slices import SLICED, own, sliced
 from flowrisk.session import write_table
 
 
@@ -74,8 +75,8 @@ def granger_tests(returns: DataFrame) -> DataFrame:
     The products of two lagged series, and of a lagged and a current one, are added up tile by tile and stay rows (src, dst); sums of
     single series join them by key. Each 3x3 system is then solved in closed form on the centred moments.
     """
-    w = W.partitionBy("key").orderBy("ts")
-    both = complete_cases(returns).withColumn("lagged", F.lag("value").over(w)).where(F.col("lagged").isNotNull())
+    w = W.partitionBy(*SLICED).orderBy("ts")
+    both = own(sliced(complete_cases(returns), 1).withColumn("lagged", F.lag("value").over(w))).where(F.col("lagged").isNotNull())
     both = write_table(both.select("ts", "key", "value", "lagged"), "lagged")
     x, y = F.col("lagged"), F.col("value")
     single = write_table(column_sums(both, {"x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}), "sums")

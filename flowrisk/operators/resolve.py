@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +87,8 @@ def with_names(t: DataFrame, book: DataFrame) -> DataFrame:
     return t.fillna(fill)
 
 
-def _rollup(flows: DataFrame) -> DataFrame:
-    return flows.groupBy("bucket", "src", "dst").agg(
+def _rollup(flows: DataFrame, *by: str) -> DataFrame:
+    return flows.groupBy(*by, "bucket", "src", "dst").agg(
         F.sum("usd").alias("usd"),
         F.sum("n_tx").alias("n_tx"),
         _max_source("src_prov").alias("src_prov"),
@@ -109,30 +112,62 @@ def resolved_flows(
     count as USD unless ``rates(bucket, sym, rate)`` says otherwise.
     """
     t = scaled_transfers(transfers, tokens, start, end).withColumn("bucket", bucket(F.col("block_time"), unit))
+    return _resolved(t.withColumn("least", F.lit(min_volume)), book, rates)
+
+
+@dataclass(frozen=True)
+class Period:
+    """A time range ``[start, end)`` whose flows are bucketed by ``unit`` and kept from ``min_volume`` on."""
+
+    unit: str
+    min_volume: float
+    start: str | None = None
+    end: str | None = None
+
+
+def resolved_periods(transfers: DataFrame, tokens: DataFrame, book: DataFrame, periods: dict[str, Period],
+                     rates: DataFrame | None = None) -> DataFrame:
+    """``resolved_flows`` of several named periods from one scan: (period, bucket, src, dst, usd, ...).
+
+    Periods may overlap; a transfer comes once per period that holds it, and only those inside any are read.
+    """
+    time = F.col("block_time")
+    inside = {name: between(time, p.start, p.end) for name, p in periods.items()}
+    rows = F.array_compact(F.array(*[
+        F.when(inside[name], F.struct(F.lit(name).alias("period"), bucket(time, p.unit).alias("bucket"), F.lit(float(p.min_volume)).alias("least")))
+        for name, p in periods.items()
+    ]))
+    t = scaled_transfers(transfers.where(reduce(Column.__or__, inside.values())), tokens).select("*", F.inline(rows))
+    return _resolved(t, book, rates, "period")
+
+
+def _resolved(t: DataFrame, book: DataFrame, rates: DataFrame | None, *by: str) -> DataFrame:
+    """Flows of scaled transfers with ``bucket``, ``least`` (volume from which a pair of names is kept) and the columns ``by``."""
     if rates is not None:
         t = t.join(sized(rates), ["bucket", "sym"], "left").withColumn("amount", F.col("amount") * F.coalesce("rate", F.lit(1.0)))
-    t = t.select("bucket", "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx"))
+    keys = [*by, "least", "bucket"]
+    t = t.select(*keys, "from_addr", "to_addr", "amount", F.lit(1).cast("long").alias("n_tx"))
     book = write_table(book, "address-book")
     if fits(book):
         book = F.broadcast(book)
     else:
         # The transfers are shuffled by address, so those of a pair are added up first: what
         # a busy pair sends to a join is one row per bucket.
-        t = t.groupBy("bucket", "from_addr", "to_addr").agg(F.sum("amount").alias("amount"), F.sum("n_tx").alias("n_tx"))
+        t = t.groupBy(*keys, "from_addr", "to_addr").agg(F.sum("amount").alias("amount"), F.sum("n_tx").alias("n_tx"))
     raw = (
         with_names(t, book)
         .where((F.col("from_name") != RESIDUAL) | (F.col("to_name") != RESIDUAL))
         # a name has one root, so the roots only ride along as keys
-        .groupBy("bucket", "from_name", "to_name", F.col("from_root").alias("src"), F.col("to_root").alias("dst"))
+        .groupBy(*keys, "from_name", "to_name", F.col("from_root").alias("src"), F.col("to_root").alias("dst"))
         .agg(
             F.sum("amount").alias("usd"),
             F.sum("n_tx").alias("n_tx"),
             _max_source("from_src").alias("src_prov"),
             _max_source("to_src").alias("dst_prov"),
         )
-        .where(F.col("usd") >= min_volume)
+        .where(F.col("usd") >= F.col("least"))
     )
-    return _rollup(raw.where("src <> dst"))
+    return _rollup(raw.where("src <> dst"), *by)
 
 
 def merge_batches(*batches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowrisk.functions.time import bucket
 from flowrisk.operators.dense import column_sums, numbered, products
 from flowrisk.operators.joins import keys_array, sized
+from flowrisk.operators.slices import SLICED, fill_forward, own, sliced
 from flowrisk.session import write_table
 
 KEYS_PER_LIST = 1_000
@@ -51,14 +52,6 @@ def on_grid(grid: DataFrame, panel: DataFrame) -> DataFrame:
     return grid.join(panel, ["ts", "key"], "left")
 
 
-def _past(*by: str) -> W:
-    return W.partitionBy(*by).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-
-
-def fill_forward(panel: DataFrame, *cols: str, by: str = "key") -> DataFrame:
-    return panel.withColumns({c: F.last(c, ignorenulls=True).over(_past(by)) for c in cols})
-
-
 def fill_both_ways(series: DataFrame, col: str) -> DataFrame:
     """Forward, then backward fill of one series over a calendar (one row per bucket).
 
@@ -94,8 +87,8 @@ def price_panel(prices: DataFrame) -> DataFrame:
 
 def log_returns(panel: DataFrame) -> DataFrame:
     """(ts, key, value): log returns; timestamps without any return are dropped."""
-    w = W.partitionBy("key").orderBy("ts")
-    r = panel.select("ts", "key", F.ln(F.col("price") / F.lag("price").over(w)).alias("value"))
+    w = W.partitionBy(*SLICED).orderBy("ts")
+    r = own(sliced(panel, 1).withColumn("value", F.ln(F.col("price") / F.lag("price").over(w)))).select("ts", "key", "value")
     return r.where(F.col("value").isNotNull())
 
 
@@ -110,8 +103,9 @@ def complete_cases(panel: DataFrame) -> DataFrame:
     return counted.where(F.col("_n") == n_keys).drop("_n")
 
 
-def rolling(win: int, by: str = "key") -> W:
-    return W.partitionBy(by).orderBy("ts").rowsBetween(-(win - 1), 0)
+def rolling(win: int, *by: str) -> W:
+    """The last ``win`` rows of a series, or of a slice with ``by=SLICED``."""
+    return W.partitionBy(*(by or ("key",))).orderBy("ts").rowsBetween(-(win - 1), 0)
 
 
 def rolling_mean(x: Column, w: W, min_periods: int) -> Column:
@@ -132,11 +126,6 @@ def drawdown(x: Column, w: W, min_periods: int) -> Column:
     return F.greatest(F.coalesce(1 - x / peak, F.lit(0.0)), F.lit(0.0))
 
 
-def positions(panel: DataFrame) -> DataFrame:
-    """Add ``pos``, the 1-based index of the row within its series."""
-    return panel.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("ts")))
-
-
 def covariance(panel: DataFrame) -> DataFrame:
     """(i, j, n, cov, corr) over the complete cases, both orders and the diagonal.
 

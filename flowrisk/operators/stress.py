@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from flowrisk.functions.draws import normal
 from flowrisk.operators.joins import bounded
 from flowrisk.operators.resolve import RESIDUAL, endpoints
-from flowrisk.operators.series import dense, drawdown, fill_forward, grid, on_grid, rolling, rolling_mean, zscore
+from flowrisk.operators.series import dense, drawdown, grid, on_grid, rolling, rolling_mean, zscore
+from flowrisk.operators.slices import SLICED, fill_forward, own, sliced
 from flowrisk.session import write_table
 
 
@@ -65,16 +66,17 @@ def entity_flow_series(flows: DataFrame, entities: DataFrame, unit: str | None =
 def _net_ratio(series: DataFrame, roll: Roll) -> DataFrame:
     total = F.col("inflow") + F.col("outflow")
     s = series.withColumn("total", total)
-    ratio = F.col("net_outflow") / rolling_mean(F.col("total"), rolling(roll.win), roll.min_periods)
+    ratio = F.col("net_outflow") / rolling_mean(F.col("total"), rolling(roll.win, *SLICED), roll.min_periods)
     return s.withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
 
 
 def flow_stress(flows: DataFrame, entities: DataFrame, roll: Roll = HOURLY, unit: str | None = None) -> DataFrame:
     """0.6 z(net outflow ratio) + 0.4 z(throughput)."""
-    s = _net_ratio(entity_flow_series(flows, entities, unit), roll)
-    w = rolling(roll.win)
+    series = write_table(entity_flow_series(flows, entities, unit), "flow-series")
+    s = _net_ratio(sliced(series, 2 * roll.win), roll)
+    w = rolling(roll.win, *SLICED)
     z = 0.6 * zscore(F.col("ratio"), w, roll.min_periods) + 0.4 * zscore(F.col("total"), w, roll.min_periods)
-    return s.select("ts", "key", z.alias("value"))
+    return own(s.withColumn("value", z)).select("ts", "key", "value")
 
 
 def _on_calendar(cal: DataFrame, prices: DataFrame, asset_of: DataFrame, col: str) -> DataFrame:
@@ -87,6 +89,22 @@ def _on_calendar(cal: DataFrame, prices: DataFrame, asset_of: DataFrame, col: st
     return fill_forward(on_grid(grid(cal, asset_of, "key"), quotes), col)
 
 
+def _quotes_of(refs: DataFrame, prices: DataFrame, tvl: DataFrame) -> DataFrame:
+    """(ts, key, peg, price, tvl): each entity's quotes of its own series, one row per time with any of them.
+
+    The three series are stacked with their kind, so that one join and one aggregation serve all.
+    """
+    kinds = {"peg": ("price", "peg_ref"), "price": ("price", "price_ref"), "tvl": ("tvl", "tvl_ref")}
+    of = refs.select(F.col("entity").alias("owner"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(table).alias("table"), F.col(c).alias("ref")) for k, (table, c) in kinds.items()
+    ])))
+    points = prices.select("ts", F.col("key").alias("ref"), F.col("price").alias("x"), F.lit("price").alias("table")).unionByName(
+        tvl.select("ts", F.col("key").alias("ref"), F.col("value").alias("x"), F.lit("tvl").alias("table"))
+    )
+    quotes = points.join(bounded(of.where(F.col("ref").isNotNull())), ["table", "ref"])
+    return quotes.groupBy("ts", F.col("owner").alias("key")).agg(*[F.max(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in kinds])
+
+
 def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: DataFrame, tvl: DataFrame,
                  market: str | None = None, roll: Roll = DAILY) -> DataFrame:
     """Type-specific stress: exchanges by flow, issuers by peg and redemptions, lenders by drawdowns.
@@ -96,17 +114,10 @@ def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: Da
     """
     cal = calendar(flows)
     ents = types.where(F.col("entity") != RESIDUAL)
-    s = _net_ratio(entity_flow_series(flows, ents), roll)
-    s = s.join(bounded(ents.withColumnRenamed("entity", "key")), "key")
-
-    def ref(c: str) -> DataFrame:
-        return refs.where(F.col(c).isNotNull()).select(F.col("entity").alias("key"), F.col(c).alias("ref"))
-
-    peg = _on_calendar(cal, prices, ref("peg_ref"), "price").withColumnRenamed("price", "peg")
-    px = _on_calendar(cal, prices, ref("price_ref"), "price")
-    locked = _on_calendar(cal, tvl, ref("tvl_ref"), "value").withColumnRenamed("value", "tvl")
-    s = s.join(peg, ["ts", "key"], "left").join(px, ["ts", "key"], "left").join(locked, ["ts", "key"], "left")
-    w, m = rolling(roll.win), roll.min_periods
+    series = entity_flow_series(flows, ents).join(bounded(ents.withColumnRenamed("entity", "key")), "key")
+    filled = fill_forward(series.join(_quotes_of(refs, prices, tvl), ["ts", "key"], "left"), "peg", "price", "tvl")
+    s = _net_ratio(sliced(filled, 2 * roll.win), roll)
+    w, m = rolling(roll.win, *SLICED), roll.min_periods
     s = s.withColumns({
         "peg_dev": F.abs(1 - F.col("peg")),
         "redemption": F.greatest("ratio", F.lit(0.0)),
@@ -120,25 +131,25 @@ def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: Da
         .when(F.col("type").isin("LENDING", "LST"), z["tvl_dd"] + 0.5 * z["px_dd"])
         .otherwise(0.0)
     )
-    out = s.select("ts", "key", value.alias("value"))
+    out = own(s.withColumn("value", value)).select("ts", "key", "value")
     return out if market is None else out.unionByName(market_stress(cal, prices, market, RESIDUAL, roll))
 
 
 def market_stress(cal: DataFrame, prices: DataFrame, asset: str, name: str, roll: Roll = DAILY) -> DataFrame:
     """z(drawdown) of one asset, as the series ``name``."""
     p = prices.where(F.col("key") == asset).select("ts", "price")
-    s = fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price")
-    w = rolling(roll.win)
+    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price"), 2 * roll.win)
+    w = rolling(roll.win, *SLICED)
     s = s.withColumn("dd", drawdown(F.col("price"), w, roll.min_periods))
-    return s.select("ts", "key", zscore(F.col("dd"), w, roll.min_periods).alias("value"))
+    return own(s.withColumn("value", zscore(F.col("dd"), w, roll.min_periods))).select("ts", "key", "value")
 
 
 def peg_stress(cal: DataFrame, prices: DataFrame, asset: str, name: str, roll: Roll) -> DataFrame:
     """z(|1 - price|) of one asset, as the series ``name``."""
     p = prices.where(F.col("key") == asset).select("ts", "price")
-    s = fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price")
-    s = s.withColumn("dev", F.abs(1 - F.col("price")))
-    return s.select("ts", "key", zscore(F.col("dev"), rolling(roll.win), roll.min_periods).alias("value"))
+    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price"), roll.win)
+    z = zscore(F.abs(1 - F.col("price")), rolling(roll.win, *SLICED), roll.min_periods)
+    return own(s.withColumn("value", z)).select("ts", "key", "value")
 
 
 def with_peg(panel: DataFrame, peg: DataFrame) -> DataFrame:
@@ -154,9 +165,10 @@ def nonflow_stress(cal: DataFrame, prices: DataFrame, sources: DataFrame, roll:
     s = _on_calendar(cal, prices, ref, "price").join(
         bounded(sources.select(F.col("entity").alias("key"), "kind")), "key"
     )
-    w, m = rolling(roll.win), roll.min_periods
+    s = sliced(s, 2 * roll.win)
+    w, m = rolling(roll.win, *SLICED), roll.min_periods
     signal = F.when(F.col("kind") == "peg", F.abs(1 - F.col("price"))).otherwise(drawdown(F.col("price"), w, m))
-    return s.withColumn("sig", signal).select("ts", "key", zscore(F.col("sig"), w, m).alias("value"))
+    return own(s.withColumn("sig", signal).withColumn("value", zscore(F.col("sig"), w, m))).select("ts", "key", "value")
 
 
 def nonflow_sources(entities: DataFrame, known: DataFrame, default_kind: str, default_asset: str) -> DataFrame:

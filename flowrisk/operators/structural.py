@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowrisk.functions.linalg import ols_from_gram, regression_partials, ridge_from_gram, total_gram
-from flowrisk.operators.series import positions
+from flowrisk.operators.slices import SLICED, own, sliced
 from flowrisk.operators.joins import bounded
 from flowrisk.session import write_table
 
@@ -51,8 +51,8 @@ def design(eqs: DataFrame, panel: DataFrame, flows: DataFrame, flow_lag: int = 0
     Per timestamp the lagged stress is one bounded map, and per child and timestamp so are
     its inflows; the features are looked up by the parent list of the equation.
     """
-    w = W.partitionBy("key").orderBy("ts")
-    lagged = positions(panel).withColumns({"prev": F.lag("value").over(w), "prev_ts": F.lag("ts").over(w)})
+    w = W.partitionBy(*SLICED).orderBy("ts")
+    lagged = own(sliced(panel, 1).withColumns({"prev": F.lag("value").over(w), "prev_ts": F.lag("ts").over(w)}))
     past = lagged.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("key", "prev"))).alias("past"))
     inflow = flows.groupBy(F.col("dst").alias("child"), F.col("bucket").alias("flow_ts")).agg(
         F.map_from_entries(F.collect_list(F.struct("src", F.log1p("usd")))).alias("inflow")

@@ -84,10 +84,10 @@ class Evaluation:
     """One pipeline: resolution, graph, stress, structural fit and the analyses on top."""
 
     def __init__(self, rel: Relations, s: Settings, flows: DataFrame | None = None, edges: DataFrame | None = None,
-                 panel: DataFrame | None = None):
+                 panel: DataFrame | None = None, resolved: DataFrame | None = None):
         """Relations that are given take the place of the derived ones."""
         self.rel, self.s = rel, s
-        given = {"flows": flows, "edges": edges, "panel": panel}
+        given = {"resolved": resolved, "flows": flows, "edges": edges, "panel": panel}
         self.__dict__.update({k: v for k, v in given.items() if v is not None})
 
     # ------------------------------------------------------------ pipeline
@@ -96,13 +96,14 @@ class Evaluation:
         return self.rel.seed.select("name").distinct()
 
     @cached_property
-    def flows(self) -> DataFrame:
+    def resolved(self) -> DataFrame:
         s, rel = self.s, self.rel
         book = write_table(R.address_book(rel.seed, rel.labels), "book")
-        resolved = write_table(
-            R.resolved_flows(rel.transfers, rel.tokens, book, s.unit, s.min_volume, s.start, s.end, rel.rates), "resolved"
-        )
-        return write_table(R.top_k_entities(resolved, self.seed_names, s.top_k), "flows")
+        return write_table(R.resolved_flows(rel.transfers, rel.tokens, book, s.unit, s.min_volume, s.start, s.end, rel.rates), "resolved")
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        return write_table(R.top_k_entities(self.resolved, self.seed_names, self.s.top_k), "flows")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -350,11 +351,15 @@ def robustness(e: Evaluation, target: str, players: list[str], nonflow: DataFram
 def events(rel: Relations, runs: dict[str, Settings], min_pre: int = 4) -> DataFrame:
     """The same pipeline per event: (event, ok, n_entities, n_pre, n_event, n_edges, model scores).
 
-    An event without enough buckets before or inside its window gives one row with ``ok`` false.
+    An event without enough buckets before or inside its window gives one row with ``ok`` false. The transfers are
+    scanned and resolved once for the periods of all events; what is fitted per event are its bucketed flows.
     """
     out = None
+    book = write_table(R.address_book(rel.seed, rel.labels), "book")
+    periods = {name: R.Period(s.unit, s.min_volume, s.start, s.end) for name, s in runs.items()}
+    resolved = write_table(R.resolved_periods(rel.transfers, rel.tokens, book, periods, rel.rates), "resolved-periods")
     for name, s in runs.items():
-        e = Evaluation(rel, s)
+        e = Evaluation(rel, s, resolved=resolved.where(F.col("period") == name).drop("period"))
         cal = X.calendar(e.flows)
         n = cal.agg(
             F.count_if(F.col("ts") < at(s.event[0])).alias("n_pre"),

@@ -78,9 +78,10 @@ def _short(i: Inputs) -> DataFrame:
 
 @query("rolling_zscores", compose(f"SELECT ts, key, round({z('price', 30, 5)}, 6) + 0 AS z, round({peak_loss('price', 30, 5)}, 6) AS drawdown FROM week_filled"))
 def _zscores(i: Inputs) -> DataFrame:
-    w = S.rolling(30)
-    p = S.price_panel(i.prices())
-    return rounded(p.select("ts", "key", S.zscore(F.col("price"), w, 5).alias("z"), S.drawdown(F.col("price"), w, 5).alias("drawdown")))
+    w = S.rolling(30, *S.SLICED)
+    p = S.sliced(S.price_panel(i.prices()), 30)
+    p = S.own(p.withColumns({"z": S.zscore(F.col("price"), w, 5), "drawdown": S.drawdown(F.col("price"), w, 5)}))
+    return rounded(p.select("ts", "key", "z", "drawdown"))
 
 
 # The typed panel: issuers are pegged to their asset, lenders locked in their own nation.
