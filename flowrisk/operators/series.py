@@ -82,7 +82,7 @@ def fill_both_ways(series: DataFrame, col: str) -> DataFrame:
 
 def price_panel(prices: DataFrame) -> DataFrame:
     """Prices of all assets on the union of their timestamps, forward filled."""
-    return fill_forward(on_grid(grid(prices, prices), prices), "price")
+    return fill_forward(on_grid(grid(prices, prices), prices), "price", calendar=prices)
 
 
 def log_returns(panel: DataFrame) -> DataFrame:

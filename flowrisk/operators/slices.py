@@ -36,11 +36,17 @@ def positions(panel: DataFrame) -> DataFrame:
     return numbered.withColumn("pos", F.col("_before") + F.col("_local")).select(*panel.columns, "pos")
 
 
-def sliced(panel: DataFrame, halo: int, rows: int | None = None) -> DataFrame:
+def _places(calendar: DataFrame) -> DataFrame:
+    """(ts, pos): the times of a calendar, numbered."""
+    return positions(calendar.select("ts").distinct().withColumn("key", F.lit(""))).drop("key")
+
+
+def sliced(panel: DataFrame, halo: int, rows: int | None = None, calendar: DataFrame | None = None) -> DataFrame:
     """Add ``pos``, ``slice`` and ``halo``: the last ``halo`` rows of a slice come once more, marked, before the next one.
 
     A window by ``SLICED`` then has the ``halo`` rows before every row of its own, as one by key has. Frames in
-    frames need the sum of their lengths. ``own`` drops the marked rows after the windows.
+    frames need the sum of their lengths. ``own`` drops the marked rows after the windows. Where every series has one
+    row per time of a ``calendar(ts)``, the times are numbered instead of the rows, and ``panel`` is read once.
     """
     size = max(SLICE_ROWS if rows is None else rows, halo, 1)
     place = F.col("pos") - 1
@@ -48,7 +54,11 @@ def sliced(panel: DataFrame, halo: int, rows: int | None = None) -> DataFrame:
     part = lambda n, h: F.struct(n.alias("slice"), F.lit(h).alias("halo"))
     both = F.array(part(number, False), part(number + 1, True))
     only = F.array(part(number, False))
-    return positions(panel).select("*", F.inline(F.when(place % size >= size - halo, both).otherwise(only)))
+    if calendar is None:
+        placed = positions(panel)
+    else:
+        placed = panel.join(_places(calendar), "ts")
+    return placed.select("*", F.inline(F.when(place % size >= size - halo, both).otherwise(only)))
 
 
 def own(panel: DataFrame) -> DataFrame:
@@ -56,19 +66,24 @@ def own(panel: DataFrame) -> DataFrame:
     return panel.where(~F.col("halo")).drop("slice", "halo")
 
 
-def fill_forward(panel: DataFrame, *cols: str) -> DataFrame:
+def fill_forward(panel: DataFrame, *cols: str, calendar: DataFrame | None = None) -> DataFrame:
     """Replace NULL in ``cols`` by the last value before it in the series.
 
-    Days are filled by themselves; what an empty start of a day takes over comes from the last values of earlier
-    days, one row per key and day.
+    Days, or slices of the ``calendar(ts)`` that every series has a row for, are filled by themselves; what the empty
+    start of one takes over comes from the last values of earlier ones, one row per key and day or slice.
     """
-    panel = write_table(panel, "unfilled")
-    last = panel.groupBy("key", _day()).agg(
+    names = panel.columns
+    if calendar is None:
+        pieces = panel.withColumn("_piece", F.to_date("ts"))
+    else:
+        pieces = panel.join(_places(calendar).select("ts", F.floor((F.col("pos") - 1) / SLICE_ROWS).alias("_piece")), "ts")
+    panel = write_table(pieces, "unfilled")
+    last = panel.groupBy("key", "_piece").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_last_{c}") for c in cols]
     )
-    before = W.partitionBy("key").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.select("key", "_day", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in cols])
-    past = W.partitionBy("key", "_day").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    local = panel.withColumn("_day", _day()).withColumns({c: F.last(c, ignorenulls=True).over(past) for c in cols})
-    out = local.join(carried, ["key", "_day"]).withColumns({c: F.coalesce(c, f"_last_{c}") for c in cols})
-    return out.select(*panel.columns)
+    before = W.partitionBy("key").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select("key", "_piece", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in cols])
+    past = W.partitionBy("key", "_piece").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    local = panel.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in cols})
+    out = local.join(carried, ["key", "_piece"]).withColumns({c: F.coalesce(c, f"_last_{c}") for c in cols})
+    return out.select(*names)

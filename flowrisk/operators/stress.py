@@ -72,8 +72,7 @@ def _net_ratio(series: DataFrame, roll: Roll) -> DataFrame:
 
 def flow_stress(flows: DataFrame, entities: DataFrame, roll: Roll = HOURLY, unit: str | None = None) -> DataFrame:
     """0.6 z(net outflow ratio) + 0.4 z(throughput)."""
-    series = write_table(entity_flow_series(flows, entities, unit), "flow-series")
-    s = _net_ratio(sliced(series, 2 * roll.win), roll)
+    s = _net_ratio(sliced(entity_flow_series(flows, entities, unit), 2 * roll.win, calendar=calendar(flows, unit)), roll)
     w = rolling(roll.win, *SLICED)
     z = 0.6 * zscore(F.col("ratio"), w, roll.min_periods) + 0.4 * zscore(F.col("total"), w, roll.min_periods)
     return own(s.withColumn("value", z)).select("ts", "key", "value")
@@ -86,7 +85,7 @@ def _on_calendar(cal: DataFrame, prices: DataFrame, asset_of: DataFrame, col: st
     """
     quotes = prices.join(bounded(asset_of.withColumnRenamed("key", "entity")),
                          F.col("key") == F.col("ref")).select("ts", F.col("entity").alias("key"), F.col(col))
-    return fill_forward(on_grid(grid(cal, asset_of, "key"), quotes), col)
+    return fill_forward(on_grid(grid(cal, asset_of, "key"), quotes), col, calendar=cal)
 
 
 def _quotes_of(refs: DataFrame, prices: DataFrame, tvl: DataFrame) -> DataFrame:
@@ -115,8 +114,8 @@ def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: Da
     cal = calendar(flows)
     ents = types.where(F.col("entity") != RESIDUAL)
     series = entity_flow_series(flows, ents).join(bounded(ents.withColumnRenamed("entity", "key")), "key")
-    filled = fill_forward(series.join(_quotes_of(refs, prices, tvl), ["ts", "key"], "left"), "peg", "price", "tvl")
-    s = _net_ratio(sliced(filled, 2 * roll.win), roll)
+    filled = fill_forward(series.join(_quotes_of(refs, prices, tvl), ["ts", "key"], "left"), "peg", "price", "tvl", calendar=cal)
+    s = _net_ratio(sliced(filled, 2 * roll.win, calendar=cal), roll)
     w, m = rolling(roll.win, *SLICED), roll.min_periods
     s = s.withColumns({
         "peg_dev": F.abs(1 - F.col("peg")),
@@ -138,7 +137,7 @@ def typed_stress(flows: DataFrame, types: DataFrame, refs: DataFrame, prices: Da
 def market_stress(cal: DataFrame, prices: DataFrame, asset: str, name: str, roll: Roll = DAILY) -> DataFrame:
     """z(drawdown) of one asset, as the series ``name``."""
     p = prices.where(F.col("key") == asset).select("ts", "price")
-    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price"), 2 * roll.win)
+    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price", calendar=cal), 2 * roll.win, calendar=cal)
     w = rolling(roll.win, *SLICED)
     s = s.withColumn("dd", drawdown(F.col("price"), w, roll.min_periods))
     return own(s.withColumn("value", zscore(F.col("dd"), w, roll.min_periods))).select("ts", "key", "value")
@@ -147,7 +146,7 @@ def market_stress(cal: DataFrame, prices: DataFrame, asset: str, name: str, roll
 def peg_stress(cal: DataFrame, prices: DataFrame, asset: str, name: str, roll: Roll) -> DataFrame:
     """z(|1 - price|) of one asset, as the series ``name``."""
     p = prices.where(F.col("key") == asset).select("ts", "price")
-    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price"), roll.win)
+    s = sliced(fill_forward(cal.join(p, "ts", "left").withColumn("key", F.lit(name)), "price", calendar=cal), roll.win, calendar=cal)
     z = zscore(F.abs(1 - F.col("price")), rolling(roll.win, *SLICED), roll.min_periods)
     return own(s.withColumn("value", z)).select("ts", "key", "value")
 
@@ -165,7 +164,7 @@ def nonflow_stress(cal: DataFrame, prices: DataFrame, sources: DataFrame, roll:
     s = _on_calendar(cal, prices, ref, "price").join(
         bounded(sources.select(F.col("entity").alias("key"), "kind")), "key"
     )
-    s = sliced(s, 2 * roll.win)
+    s = sliced(s, 2 * roll.win, calendar=cal)
     w, m = rolling(roll.win, *SLICED), roll.min_periods
     signal = F.when(F.col("kind") == "peg", F.abs(1 - F.col("price"))).otherwise(drawdown(F.col("price"), w, m))
     return own(s.withColumn("sig", signal).withColumn("value", zscore(F.col("sig"), w, m))).select("ts", "key", "value")

@@ -60,6 +60,16 @@ def test_frames_in_frames(panel):
     assert rows_of(got, "z") == rows_of(z(panel, S.rolling(5)), "z")
 
 
+def test_a_calendar_numbers_the_rows_of_a_grid(panel, monkeypatch):
+    times = panel.select("ts").distinct()
+    full = S.on_grid(S.grid(times, panel), panel)
+    got = slices.sliced(full, 5, 16, times)
+    assert rows_of(got, "pos", "slice", "halo") == rows_of(slices.sliced(full, 5, 16), "pos", "slice", "halo")
+    monkeypatch.setattr(slices, "SLICE_ROWS", 16)
+    text = F.to_json(F.struct("value"))
+    assert rows_of(slices.fill_forward(full, "value", calendar=times), text) == rows_of(slices.fill_forward(full, "value"), text)
+
+
 def test_fill_forward_over_days(panel):
     past = W.partitionBy("key").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     want = panel.withColumn("value", F.last("value", ignorenulls=True).over(past))
